@@ -1,4 +1,6 @@
 """All queries of the core, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from paarwerk.plans.oracles import ORACLES
+from paarwerk.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
