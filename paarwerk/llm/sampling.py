@@ -12,7 +12,7 @@ than wanted is drawn whole and reported.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,6 +73,10 @@ def flight(rows: pd.DataFrame, level: int) -> pd.DataFrame:
     return pd.concat(out) if out else rows
 
 
+def _flight_at(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda rows: flight(rows, level)
+
+
 def cube(members: DataFrame, planned: DataFrame) -> DataFrame:
     """(pair_id, target_id) of the drawn rows."""
     probabilities = planned.select("target_id", F.col("drawing").alias("num"), F.col("available").alias("den"))
@@ -95,7 +99,7 @@ def cube(members: DataFrame, planned: DataFrame) -> DataFrame:
     while True:
         level, parts = level + 1, -(-parts // FAN)
         merged = open_.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
-        up = materialise(merged.groupBy("part").applyInPandas(lambda rows, level=level: flight(rows, level), schema), f"flight-{level}")
+        up = materialise(merged.groupBy("part").applyInPandas(_flight_at(level), schema), f"flight-{level}")
         decided = decided.unionByName(up.where("num = den").select("pair_id", "target_id"))
         open_ = up.where("num > 0 and num < den")
         if parts <= 1:
