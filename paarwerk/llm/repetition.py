@@ -2,7 +2,8 @@
 
 Each document is measured once (share of words in a run that stood earlier, repeated lines and sentences); its rule
 failures are added up by host (the source of the text), the hosts' failure rates are shrunk with a beta prior that is
-fitted to all hosts by moments, and the verdict is joined back to the documents. The text itself is never shuffled.
+fitted to all hosts by moments, and the verdict is joined back to the documents. The measures, a few numbers a document,
+are written once; the text itself is never shuffled.
 
 Null and empty texts have 0 words, share 0 and fail no rule. A null source is a host of its own.
 """
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from paarwerk.llm.textform import words
+from paarwerk.session import materialise
 
 RUN_WORDS = 4
 LEAST_WORDS = 8
@@ -63,7 +65,7 @@ def measured(documents: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(n, pa.int32()), pa.array(rep, pa.int32()), pa.array(pieces, pa.float64())], names=["doc_id", "source", "n_words", "repeated_words", "piece_share"])
 
     schema = "doc_id bigint, source string, n_words int, repeated_words int, piece_share double"
-    return documents.select(key, host, text).mapInArrow(scan, schema).withColumn("share", F.when(F.col("n_words") > 0, F.col("repeated_words") / F.col("n_words")).otherwise(F.lit(0.0)))
+    return materialise(documents.select(key, host, text).mapInArrow(scan, schema), "measures").withColumn("share", F.when(F.col("n_words") > 0, F.col("repeated_words") / F.col("n_words")).otherwise(F.lit(0.0)))
 
 
 def failures(m: DataFrame) -> DataFrame:
