@@ -86,7 +86,7 @@ def _left_class(word: tuple[str, str, str] | None, mark: str, closed: str) -> st
     if kind == "num":
         return f"P:num:{_bucket(before.lower())}" if len(w) <= 2 else "P:figure"
     low = w.lower()
-    if low in ABBREVIATIONS:
+    if low in ABBREVIATIONS or low.endswith("str"):  # also names of streets
         return f"P:abbr:{_bucket(low)}"
     if low in EITHER:
         return f"P:either:{_bucket(low)}"
@@ -225,8 +225,10 @@ PRIOR = {
 #: First chances of kinds of next classes: after a boundary, after none. Words and letters share their kind's chance.
 NEXT = {
     "end": (0.22, 1e-6), "blank": (0.04, 1e-6), "cap": (0.42, 0.14), "lower": (0.01, 0.5), "num": (0.008, 0.12), "item": (0.01, 0.02), "month": (0.0005, 0.06), "initial": (0.01, 0.02),
-    "open": (0.06, 0.01), "open(": (0.03, 0.01), "punct": (0.0005, 0.1), "mark": (0.0002, 0.01), "k": (0.06, 0.06), "th": (0.05, 0.02), "hi": (0.04, 0.03), "ar": (0.04, 0.03),
+    "open": (0.06, 0.01), "open(": (0.03, 0.01), "punct": (0.0005, 0.1), "mark": (0.0002, 0.01), **dict.fromkeys(("k", "th", "hi", "ar"), (0.05, 0.05)),
 }
+#: Scripts without case: that such a word follows says nothing, however many texts of other scripts there are; which word it is does.
+CASELESS = frozenset(("k", "th", "hi", "ar"))
 #: Weights of the first chances and of a word that is new, in places; what a capital or opening sign without a boundary loses behind an ellipsis and the like.
 KIND_WEIGHT, WORD_WEIGHT, UNLIKELY = 30.0, 5.0, 0.3
 #: Odds of a boundary that would make a sentence of one or two words out of a word with a full stop.
@@ -270,8 +272,8 @@ class Model:
             kind, _, word = right.partition(":")
             group, total = b[1:], self.n[f"K{b}"]
             prior = NEXT[kind][b != "1"] * (UNLIKELY if group in ("E", "either", "q:") and kind in ("cap", "initial", "open", "open(", "item") else 1)
-            weight = KIND_WEIGHT + (total if group in ("E", "either") else 0)
-            p = (self.n[f"K{b} {kind}"] + prior * weight) / (total + weight)
+            weight = KIND_WEIGHT + total  # half of it stays: one kind of text must not set the chances of all others
+            p = (self.n[f"K{b} {kind}"] + prior * weight) / (total + weight) if kind not in CASELESS else 1.0
             if word:
                 yes, no = self.n[f"R1 {right}"], self.n[f"R0 {right}"]
                 k1, k0 = self.n[f"K1 {kind}"] + 1, self.n[f"A0 {kind}"] + 1
