@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,6 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SMALL_ROWS = 20_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once per application, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        made = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="paarwerk-ship-")) / root.name), "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
