@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paarwerk.llm import leaks, overlap, repetition, sampling, sentences, splits, textform, tokenize
+from paarwerk.llm.oracles import ORACLES
 from paarwerk.session import new_path, table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 #: Where the public vocabularies lie on every machine; spark.paarwerk.tokenizers overrides it.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -108,5 +111,3 @@ QUERIES = {f.__name__: f for f in (
     p1_found, p1_splits, p1_quarantine, p3_found, p3_texts, p4_found, p4_report, p5_found, p5_sample, p5_report,
     p6_found, p6_sentences, p7_ids, p7_round_trip, p8_found, p8_cleaned, p9_found, p9_documents, p9_hosts,
 )}
-
-ORACLES: dict[str, str] = {}
