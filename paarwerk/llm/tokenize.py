@@ -24,7 +24,7 @@ KEPT_WORDS = 400_000
 
 #: Words that go through one recursive query.
 STEP_WORDS = 20_000
-#: Words of more bytes contract all places of their best pair at once; the result is the same, the steps are fewer.
+#: Longer words are cut into pieces, and longer pieces contract all places of their best pair at once; the result is the same.
 LONG_BYTES = 64
 
 _DONE = """
@@ -44,19 +44,20 @@ WITH RECURSIVE parts(word, pos, id, step) AS (
     SELECT p.word, p.pos, CASE WHEN p.pos = b.pos THEN b.made ELSE p.id END, p.step + 1 FROM pairs p JOIN best USING (word) WHERE p.pos <> b.next_pos)
 )
 {_DONE}"""
-#: Of places side by side, as in `aaa`, every second is taken.
-ALL_PLACES = f"""
-WITH RECURSIVE parts(word, pos, id, step) AS (
-    SELECT word, pos, id, 0 FROM pieces
-  UNION ALL
-    SELECT word, pos, id, step FROM (
-      SELECT word, pos, CASE WHEN taken THEN made ELSE id END AS id, step + 1 AS step, lag(taken) OVER (PARTITION BY word ORDER BY pos) AS eaten
-      FROM (SELECT word, pos, id, step, made, hit AND row_number() OVER (PARTITION BY word, hit, island ORDER BY pos) % 2 = 1 AS taken
-        FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS island
-          FROM (SELECT *, coalesce(rank = min(rank) OVER (PARTITION BY word), false) AS hit, min(rank) OVER (PARTITION BY word) AS best FROM ({_PAIRS})) WHERE best IS NOT NULL)))
-    WHERE eaten IS NOT TRUE
+#: For long pieces: every place of the best pair at once (of places side by side, as in `aaa`, every second), and one table
+#: that is updated, -1 for what was contracted away.
+ALL_PLACES = """
+WITH RECURSIVE parts(pos, id) USING KEY (pos) AS (
+    SELECT pos, id FROM pieces
+  UNION (
+    WITH held AS (SELECT pos, id, lead(id) OVER (ORDER BY pos) AS right_id, lead(pos) OVER (ORDER BY pos) AS next_pos, row_number() OVER (ORDER BY pos) AS n FROM recurring.parts WHERE id >= 0),
+    pairs AS (SELECT held.*, m.made, m.rank FROM held JOIN merges m ON m.left_id = held.id AND m.right_id = held.right_id),
+    best AS (SELECT *, n - row_number() OVER (ORDER BY n) AS island FROM pairs WHERE rank = (SELECT min(rank) FROM pairs)),
+    taken AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY island ORDER BY n) % 2 = 1)
+    SELECT pos, made FROM taken UNION ALL SELECT next_pos, -1 FROM taken)
 )
-{_DONE}"""
+SELECT 0 AS word, list(id ORDER BY pos) AS ids FROM parts WHERE id >= 0
+"""
 
 
 @lru_cache(4)
@@ -87,6 +88,16 @@ def _spelled(path: str) -> dict[int, bytes]:
     return out
 
 
+@lru_cache(4)
+def _together(path: str) -> np.ndarray:
+    """Which two bytes stand side by side inside some token."""
+    out = np.zeros((256, 256), bool)
+    for b in _spelled(path).values():
+        x = np.frombuffer(b, np.uint8)
+        out[x[:-1], x[1:]] = True
+    return out
+
+
 class PartitionEncoder:
     """One partition's DuckDB, with the merge table and the words met so far."""
 
@@ -94,30 +105,40 @@ class PartitionEncoder:
         import duckdb
 
         merges, self.byte_ids, self.pattern = _vocabulary(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, rank, made = (pa.array(x, pa.int32()) for x in zip(*merges))
         given = pa.table({"left_id": left, "right_id": right, "rank": rank, "made": made})
         self.db.register("given", given)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
+        self.together = _together(path)
         self.known: dict[str, list[int]] = {}
 
     def learn(self, new: list[str]) -> None:
-        """Contract words that are new here."""
-        coded = [(w, w.encode()) for w in new]
-        short, long = [x for x in coded if len(x[1]) <= LONG_BYTES], [x for x in coded if len(x[1]) > LONG_BYTES]
+        """Contract words that are new here. Long ones are cut first where no token of the vocabulary can lie across."""
+        coded = {w: w.encode() for w in new}
+        cut = {w: self._pieces(b) for w, b in coded.items() if len(b) > LONG_BYTES}
+        pieces = list({b for w, b in coded.items() if w not in cut} | {p for ps in cut.values() for p in ps})
+        short, long, ids = [b for b in pieces if len(b) <= LONG_BYTES], [b for b in pieces if len(b) > LONG_BYTES], {}
         for i in range(0, len(short), STEP_WORDS):
-            self._contract(short[i : i + STEP_WORDS], LEFTMOST)
-        for x in long:
-            self._contract([x], ALL_PLACES)
-
-    def _contract(self, coded: list[tuple[str, bytes]], query: str) -> None:
-        sizes = np.array([len(b) for _, b in coded])
-        word = np.repeat(np.arange(len(coded), dtype=np.int32), sizes)
+            self._contract(short[i : i + STEP_WORDS], LEFTMOST, ids)
+        for b in long:
+            self._contract([b], ALL_PLACES, ids)
+        for w, b in coded.items():
+            self.known[w] = list(chain.from_iterable([ids[p] for p in cut[w]])) if w in cut else ids[b]
+
+    def _pieces(self, b: bytes) -> list[bytes]:
+        x = np.frombuffer(b, np.uint8)
+        at = np.flatnonzero(~self.together[x[:-1], x[1:]]) + 1
+        return [b[i:j] for i, j in zip([0, *at.tolist()], [*at.tolist(), len(b)])]
+
+    def _contract(self, pieces: list[bytes], query: str, out: dict[bytes, list[int]]) -> None:
+        sizes = np.array([len(b) for b in pieces])
+        word = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         pos = np.arange(len(word), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = self.byte_ids[np.frombuffer(b"".join(b for _, b in coded), np.uint8)]
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         self.db.register("pieces", pa.table({"word": word, "pos": pos, "id": ids}))
         for i, x in self.db.execute(query).fetchall():
-            self.known[coded[i][0]] = x
+            out[pieces[i]] = x
         self.db.unregister("pieces")
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
