@@ -1,6 +1,10 @@
 """SQL for those training-data queries that SQL can express over whole tables; the others are tested against brute force,
 the tokenizer's own library or an exact round trip."""
 
+import unicodedata
+
+from paarwerk.llm import textform
+
 _S = r"[\s\x0b\x{85}\p{Z}]"
 
 
@@ -58,3 +62,22 @@ ORACLES = {
 SELECT target_id, wanted, available, drawn, wanted - drawn AS missing, CASE WHEN s > 0 THEN drawn / s ELSE 0.0 END - target_permille / 1000 AS share_off FROM d, s""",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
+
+
+def _class(chars) -> str:
+    """RE2 class body of some characters."""
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in textform._ranges([ord(c) for c in chars]))
+
+
+def _p3_found() -> str:
+    other = _class(c for c, to in textform.decomposition().items() if to != unicodedata.normalize("NFD", c))
+    alike = _class(textform.LOOK_ALIKE)
+    needs = textform._NEEDS_JOINER[1:-1]
+    kept = rf"regexp_replace(t, '([{needs}])[\x{{200C}}\x{{200D}}]([{needs}])', '\1\2', 'g')"
+    word = lambda x: rf"regexp_matches({x}, '\p{{Latin}}') AND regexp_matches({x}, '[{alike}]') AND NOT regexp_matches({x}, '[^\p{{Latin}}\p{{M}}{alike}]')"
+    mixed = rf"len(list_filter(regexp_extract_all(t, '\p{{L}}[\p{{L}}\p{{M}}]*'), lambda x: {word('x')})) > 0"
+    return rf"""WITH s AS (SELECT pair_id, 'src' AS side, src AS t FROM all_corpora UNION ALL SELECT pair_id, 'tgt', tgt FROM all_corpora)
+SELECT pair_id, side FROM s WHERE t IS NOT NULL AND (regexp_matches({kept}, '[{other}]') OR nfc_normalize(t) <> t OR {mixed})"""
+
+
+ORACLES["p3_found"] = _p3_found()
