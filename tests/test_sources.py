@@ -58,3 +58,16 @@ def test_stream(spark, corpora, tmp_path):
         time.sleep(0.2)
     assert query.exception() is None
     assert spark.read.parquet(str(tmp_path / "out")).where("src is not null").count() == 3
+
+
+def test_command_line(spark, corpora, tmp_path, capsys):
+    import json
+
+    from paarwerk.__main__ import main, run_stats
+
+    (tmp_path / "r.json").write_text(json.dumps(corpora))
+    main(["extract", "--registry", str(tmp_path / "r.json"), "--output-dir", str(tmp_path / "out"), "--format", "both", "--exclude", "bad.xml"])
+    assert "LEONIDE L2: 3" in capsys.readouterr().out
+    main(["stats", "--csv", str(tmp_path / "out" / "all_corpora.csv")])
+    assert "WHOLE_CORPUS" in capsys.readouterr().out
+    assert run_stats(spark, str(tmp_path / "none.csv"))["overview"].first().n_sentence_pairs == 0
