@@ -172,3 +172,20 @@ def test_report_counts_pairs(spark):
     rows = [(1, "leonide", "ein Hund bellt", "ein Hund bellt", "train"), (2, "LEONIDE ", "ein Hund bellt", "ein Hund bellt", "dev"), (3, None, "Ein Hund bellt!", "ein Hund bellt", "dev"), (4, None, "ein Hund bellt", "ein Hund bellt", "train")]
     got = {tuple(r) for r in O.report(spark.createDataFrame(rows, "pair_id long, corpus string, src string, tgt string, data_split string"), corpora).collect()}
     assert got == {("dev", "LEONIDE", 2, 1, 1.0), ("dev", None, 2, 1, 1.0)}
+
+
+def test_large_texts_are_salted(spark, monkeypatch):
+    frames, *rows = world(spark, random.Random(6), 600)
+    hot = [(10_000 + i, "LEONIDE", None, "DE_pic_1_0X0A0_0.xml", "s", "t", "train", None, "clash", 7) for i in range(400)]
+    frames[0] = frames[0].unionByName(spark.createDataFrame(hot, PAIRS))
+    monkeypatch.setattr(S, "is_small", lambda df: False)
+    assert {tuple(r) for r in S.found(*frames).collect()} == plain_groups(rows[0] + hot, *rows[1:])
+
+
+def test_copies_are_one_class(spark):
+    rows = [(i, "ein kleiner Hund bellt", "ein kleiner Hund bellt", "train" if i % 50 else "dev") for i in range(300)] + [(900, "ein kleiner Hund bellt sehr", "ein kleiner Hund bellt sehr", "test")]
+    df = spark.createDataFrame(rows, "pair_id long, src string, tgt string, data_split string")
+    near_classes, members = O.overlaps(df)
+    assert near_classes.count() == 2 and members.count() == 301
+    got = O.row_pairs(df).collect()
+    assert len(got) == len(set(map(tuple, got))) == 6 * 294 + 294
