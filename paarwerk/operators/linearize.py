@@ -24,7 +24,6 @@ BREAK = "<SENTBREAK>"
 FOREIGN = ("FOREIGNWORDSTART", "FOREIGNWORDEND")
 DELETED = "<DEL>"
 WRAPPER = "<SPACEWRAPPER> </SPACEWRAPPER>"
-NAMESPACES = {"kolipsi_1": "{http://www.eurac.edu/kolipsi}", "kolipsi_2": "{http://www.eurac.edu/kolipsi_II}", "transcanno": "{http://www.eurac.edu/transcanno}"}
 ERRORS = frozenset(("error", "over_capitalisation", "e"))
 
 _UNREADABLE = re.compile("unreadable", re.I)
@@ -342,19 +341,19 @@ P_STEPS: list[tuple[str, Callable[[Page, ET.Element], None]]] = [
 ]
 
 
-def sections(root: ET.Element, dialect: str, edition: str | None = None) -> list[ET.Element]:
-    """The parts of a document that are read on their own."""
+def sections(root: ET.Element, dialect: str) -> list[ET.Element]:
+    """The parts of a document that are read on their own, in any namespace: paragraphs, or the exercises of the first
+    body; exercises in a namespace are read together, as one body."""
     if dialect == "P":
-        return root.findall(f".//{NAMESPACES['transcanno']}paragraph") or root.findall(".//paragraph")
-    own = [] if edition is None else root.findall(f".//{NAMESPACES[edition]}body")
-    bodies = own or root.findall(".//body") or ([] if edition else [n for n in root.iter() if local(n.tag) == "body"])
-    return (bodies[0].findall(".//exercise") or bodies[:1]) if bodies else []
+        return [n for n in root.iter() if local(n.tag) == "paragraph" and n is not root]
+    body = next((n for n in root.iter() if local(n.tag) == "body" and n is not root), None)
+    return [] if body is None else body.findall(".//exercise") or [body]
 
 
-def linearised(xml: str, dialect: str, edition: str | None = None, strict: bool = False) -> list[tuple[str, str]]:
+def linearised(xml: str, dialect: str, strict: bool = False) -> list[tuple[str, str]]:
     """(src, tgt) of each section, with marks. Raises ParseError."""
     out = []
-    for section in sections(ET.fromstring(with_wrappers(xml)), dialect, edition):
+    for section in sections(ET.fromstring(with_wrappers(xml)), dialect):
         page = Page(strict)
         if dialect == "P":
             _p_children(page, section)
@@ -380,7 +379,7 @@ def linearise(files: DataFrame, strict: bool = False) -> DataFrame:
                 if content is None:
                     continue
                 try:
-                    found = linearised(content.decode("utf-8", "ignore"), dialect or "X", None, strict)
+                    found = linearised(content.decode("utf-8", "ignore"), dialect or "X", strict)
                     rows += [(doc, dialect, i, s, t, None) for i, (s, t) in enumerate(found, 1)]
                 except Exception as e:  # a file of its own kind; the others go on
                     rows.append((doc, dialect, None, None, None, f"{type(e).__name__}: {e}"))
