@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from paarwerk.session import strip
+from paarwerk.session import once, strip
 
 # The patterns of the cleaning, in Java's spelling.
 INTERJECTION = r'(?iu)(?<![\p{L}\p{N}_])(h[aeo]+|e+|o+|y+e+|gahahaha|hahaha+|noo+)(?:([.!?,"])|[\s\x0B\x85\p{Z}]|$)'
@@ -13,7 +15,7 @@ LIST_MARK = r"(?U)^\s*\d+\s*[.\)]\s*"
 WORD = r"[\p{L}\p{N}_]+"
 CENSORED = ["*", "@"]
 REMARKS = ["fortsetzung der aufgabe 2 fehlt", "text nicht beendet", "der text abgebrochen"]
-BROKEN_OFF = r"(?U)die aufgabe\s*\d?\s*abgebrochen"
+BROKEN_OFF = r"(?U:die aufgabe\s*\d?\s*abgebrochen)"
 LEAST_WORDS = 3
 SIDES = ("src", "tgt")
 
@@ -37,28 +39,19 @@ def word_count(c: Column | str) -> Column:
     return F.regexp_count(c, F.lit(WORD))
 
 
-def either(test) -> Column:
-    return test(F.col("src")) | test(F.col("tgt"))
-
-
-def is_remark() -> Column:
-    """A transcriber's remark that the text breaks off, or a censored or addressed text, on either side."""
-    found = F.lit(False)
-    for sign in CENSORED:
-        found = found | either(lambda c: F.contains(c, F.lit(sign)))
-    for said in REMARKS:
-        found = found | either(lambda c: F.contains(F.lower(c), F.lit(said)))
-    found = found | either(lambda c: F.lower(c).rlike(BROKEN_OFF))
-    has = lambda w: either(lambda c: F.contains(F.lower(c), F.lit(w)))
-    return found | (has("abgebrochen") & (has("text") | has("aufgabe")))
+def is_remark(*sides: str) -> Column:
+    """A transcriber's remark that the text breaks off, or a censored or addressed text, on any side. The sides are read as one text, once."""
+    text = F.lower(F.concat_ws("\n", *sides))
+    signs = "|".join(re.escape(x) for x in [*CENSORED, *REMARKS])
+    return text.rlike(rf"{signs}|{BROKEN_OFF}|(?s)^(?=.*abgebrochen).*(?:text|aufgabe)")
 
 
 def filtered(pairs: DataFrame) -> DataFrame:
     """The pairs that stay, cleaned. Null sides count as empty; has_foreign, if there is such a column, drops a pair."""
     kept = pairs.where(~F.coalesce("has_foreign", F.lit(False))) if "has_foreign" in pairs.columns else pairs
-    kept = kept.withColumns({s: tidied(F.coalesce(s, F.lit(""))) for s in SIDES}).where(~is_remark())
-    kept = kept.withColumns({s: without_list_mark(s) for s in SIDES}).where("src <> '' and tgt <> ''")
-    return kept.where(F.least(word_count("src"), word_count("tgt")) >= LEAST_WORDS)
+    kept = once(kept, {s: tidied(F.coalesce(s, F.lit(""))) for s in SIDES}).where(~is_remark(*SIDES))
+    kept = once(kept, {s: without_list_mark(s) for s in SIDES}).where("src <> '' and tgt <> ''")
+    return kept.where((word_count("src") >= LEAST_WORDS) & (word_count("tgt") >= LEAST_WORDS)).select(*pairs.columns)
 
 
 def first_of_each(pairs: DataFrame, document: list[str], order: list[str]) -> DataFrame:

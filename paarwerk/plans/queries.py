@@ -119,7 +119,7 @@ def word_count_filter(spark, d):
 
 
 def remark_filter(spark, d):
-    return _documents(spark, d).select("doc_id", F.col("text").alias("src"), F.coalesce("text", F.lit("")).alias("tgt")).where(clean.is_remark()).select("doc_id")
+    return _documents(spark, d).where(clean.is_remark("text")).select("doc_id")
 
 
 def dedup_first(spark, d):

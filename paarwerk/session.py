@@ -78,6 +78,12 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(right) if is_small(right, bound) else right, on, how)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with `columns` set, each computed once a row: filters above are not merged with costly expressions, as they would be through a projection."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def strip(c: Column | str) -> Column:
     """Text without white space of any kind at its ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
