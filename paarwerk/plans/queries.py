@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from paarwerk.operators import align, clean, extract, linearize, nested, segment, stats
-from paarwerk.session import new_path, strip, table
+from paarwerk.session import new_path, spread, strip, table
 from paarwerk.sources import files, sinks
 
 
@@ -13,21 +13,25 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "all_corpora")
 
 
+def _spread_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_pairs(spark, d), "pair_id")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     """raw_files with the dialect of its corpus: attributes in one corpus, child elements in the others."""
-    return table(spark, d, "raw_files").withColumn("dialect", F.when(F.col("corpus") == "LEONIDE", "P").otherwise("X"))
+    return spread(table(spark, d, "raw_files"), "file_id").withColumn("dialect", F.when(F.col("corpus") == "LEONIDE", "P").otherwise("X"))
 
 
 def corpus_overview(spark, d):
-    return stats.corpus_overview(_pairs(spark, d))
+    return stats.corpus_overview(_spread_pairs(spark, d))
 
 
 def corrected_only(spark, d):
-    return stats.corrected_only(_pairs(spark, d))
+    return stats.corrected_only(_spread_pairs(spark, d))
 
 
 def sentence_count_pct(spark, d):
@@ -93,7 +97,7 @@ def bag_union(spark, d):
 
 
 def clean_filters(spark, d):
-    return clean.filtered(_pairs(spark, d).select("pair_id", "src", "tgt"))
+    return clean.filtered(_spread_pairs(spark, d).select("pair_id", "src", "tgt"))
 
 
 def interjection_strip(spark, d):
@@ -152,23 +156,23 @@ def sentence_split(spark, d):
 
 def fragment_merge(spark, d):
     """Fragments between blanks behind punctuation, joined where one goes on in lower case."""
-    rows = table(spark, d, "sentencepair")
+    rows = spread(table(spark, d, "sentencepair"), "chunk_id")
     pieces = F.filter(F.transform(F.split(F.coalesce("tgt", F.lit("")), segment.CUT), strip), lambda x: x != "")
     return rows.select("chunk_id", F.posexplode(segment.merged(pieces)).alias("pos", "sentence"))
 
 
 def zip_longest_sentences(spark, d):
-    rows = table(spark, d, "sentencepair")
+    rows = spread(table(spark, d, "sentencepair"), "chunk_id")
     return rows.select("chunk_id", F.posexplode(align.zip_longest(segment.sentences("src"), segment.sentences("tgt"))).alias("pos", "p")).select("chunk_id", "pos", "p.src", "p.tgt")
 
 
 def zip_longest_tokens(spark, d):
-    rows = _pairs(spark, d).where("src is not null and tgt is not null")
+    rows = _spread_pairs(spark, d).where("src is not null and tgt is not null")
     return rows.select("pair_id", F.posexplode(align.token_pairs(F.col("src"), F.col("tgt"))).alias("pos", "p")).select("pair_id", "pos", F.col("p.src").alias("src_token"), F.col("p.tgt").alias("tgt_token"))
 
 
 def norm_lines(spark, d):
-    return _pairs(spark, d).where("src is not null and tgt is not null").select("pair_id", align.norm_block(F.col("src"), F.col("tgt")).alias("block"))
+    return _spread_pairs(spark, d).where("src is not null and tgt is not null").select("pair_id", align.norm_block(F.col("src"), F.col("tgt")).alias("block"))
 
 
 def sentbreak_chunks(spark, d):
@@ -223,24 +227,24 @@ def extract_problems(spark, d):
 
 
 def p2_found(spark, d):
-    return nested.field_rows(table(spark, d, "raw_files")).select("file_id", "ann_no", "parent_ann_no", "field", "field_seq")
+    return nested.field_rows(_raw(spark, d)).select("file_id", "ann_no", "parent_ann_no", "field", "field_seq")
 
 
 def p2_fields(spark, d):
-    return nested.field_rows(table(spark, d, "raw_files"))
+    return nested.field_rows(_raw(spark, d))
 
 
 def p2_nodes(spark, d):
-    return nested.occurrences(nested.read(table(spark, d, "raw_files"))).withColumn("hash", F.hex("hash"))
+    return nested.occurrences(nested.read(_raw(spark, d))).withColumn("hash", F.hex("hash"))
 
 
 def p2_objects(spark, d):
-    things = nested.objects(nested.read(table(spark, d, "raw_files")))
+    things = nested.objects(nested.read(_raw(spark, d)))
     return things.select(F.hex("hash").alias("hash"), "name", F.to_json("attributes").alias("attributes"), "text", "blank", F.size("children").alias("n_children"))
 
 
 def p2_bridge(spark, d):
-    links = nested.bridge(nested.objects(nested.read(table(spark, d, "raw_files"))))
+    links = nested.bridge(nested.objects(nested.read(_raw(spark, d))))
     return links.select(F.hex("parent_hash").alias("parent_hash"), "ordinal", "name", "seq", F.hex("child_hash").alias("child_hash"))
 
 

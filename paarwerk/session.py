@@ -14,6 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SMALL_ROWS = 20_000
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table for work that costs much a row: where it has fewer partitions than there are cores (one small file), its rows are
+    dealt out by `keys`. A large table has its partitions and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, *keys)
+
+
 _shipped: set[str] = set()
 
 
