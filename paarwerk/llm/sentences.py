@@ -258,6 +258,8 @@ class Model:
                 base = base.rpartition(":")[0] if ":" in base else base[:-1]
             mean, weight = PRIOR[base]
             yes, no = self.n[f"L1 {left}"], self.n[f"L0 {left}"]
+            if base in ("P:word", "P:short"):  # the first chance keeps a third: a word that one text repeats must not become an abbreviation
+                weight += 0.5 * (yes + no)
             p = self.cache[left] = (yes + mean * weight) / (yes + no + weight)
         return p
 
@@ -272,7 +274,9 @@ class Model:
             kind, _, word = right.partition(":")
             group, total = b[1:], self.n[f"K{b}"]
             prior = NEXT[kind][b != "1"] * (UNLIKELY if group in ("E", "either", "q:") and kind in ("cap", "initial", "open", "open(", "item") else 1)
-            weight = KIND_WEIGHT + total  # half of it stays: one kind of text must not set the chances of all others
+            # Half of the first chances stays: one kind of text must not set those of all others. Behind an ordinary word with a
+            # full stop most of them stays, since places without a boundary are hardly ever sure there.
+            weight = KIND_WEIGHT + total * (4 if group == "word" else 1)
             p = (self.n[f"K{b} {kind}"] + prior * weight) / (total + weight) if kind not in CASELESS else 1.0
             if word:
                 yes, no = self.n[f"R1 {right}"], self.n[f"R0 {right}"]
