@@ -19,6 +19,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from paarwerk.session import materialise
+
 # Letters of other scripts and the Latin letters that they look like.
 LOOK_ALIKE = dict(
     zip(
@@ -205,10 +207,11 @@ def rebuilt(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
     The texts, not the code points, are shuffled by key; the windows and the last aggregation keep that partitioning.
     """
-    each = [F.col(k) for k in keys]
+    # A number of its own keeps the rows, few bytes but much work, from being put together in few tasks.
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     cps = (
         df.select(*keys, text)
-        .repartition(*each)
+        .repartition(parts, *keys)
         .select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).alias("_pos", "_c"))
     )
     by = W.partitionBy(*keys).orderBy("_pos")
@@ -280,5 +283,5 @@ def questionable_texts(df: DataFrame, key: str, columns: list[str]) -> DataFrame
 
 def changed_texts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, side) of each text that isn't in consistent form."""
-    tall = questionable_texts(df, key, columns)
+    tall = materialise(questionable_texts(df, key, columns), "questionable")
     return rebuilt(tall.select(key, "side", F.col("text").alias("text")), [key, "side"], "text").join(tall, [key, "side"]).where(F.col("form") != F.col("text")).select(key, "side")
