@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paarwerk.llm import leaks, overlap, repetition, sampling, sentences, splits, textform, tokenize
 from paarwerk.llm.oracles import ORACLES
-from paarwerk.session import new_path, table
+from paarwerk.session import new_path, spread, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -18,6 +18,18 @@ def _vocabulary(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.paarwerk.tokenizers', TOKENIZERS)}/{tokenize.VOCABULARY}"
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "all_corpora"), "pair_id")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "sentencepair"), "chunk_id")
+
+
 def _group_tables(spark: SparkSession, d: str) -> list[DataFrame]:
     return [table(spark, d, t) for t in ("all_corpora", "text_meta", "author_alias", "corpora")]
 
@@ -39,19 +51,19 @@ def p1_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return textform.changed_texts(table(spark, d, "all_corpora"), "pair_id", ["src", "tgt"])
+    return textform.changed_texts(_pairs(spark, d), "pair_id", ["src", "tgt"])
 
 
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:
-    return textform.consistent_columns(table(spark, d, "all_corpora").select("pair_id", "src", "tgt"), "pair_id", ["src", "tgt"])
+    return textform.consistent_columns(_pairs(spark, d).select("pair_id", "src", "tgt"), "pair_id", ["src", "tgt"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.row_pairs(table(spark, d, "all_corpora"))
+    return overlap.row_pairs(_pairs(spark, d))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.report(table(spark, d, "all_corpora"), table(spark, d, "corpora"))
+    return overlap.report(_pairs(spark, d), table(spark, d, "corpora"))
 
 
 def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -71,15 +83,15 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.boundaries(table(spark, d, "sentencepair")).select("chunk_id", "side", "end_pos")
+    return sentences.boundaries(_chunks(spark, d)).select("chunk_id", "side", "end_pos")
 
 
 def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.boundaries(table(spark, d, "sentencepair")).select("chunk_id", "side", "sent_no", "end_pos", "sentence")
+    return sentences.boundaries(_chunks(spark, d)).select("chunk_id", "side", "sent_no", "end_pos", "sentence")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode(table(spark, d, "documents"), _vocabulary(spark))
+    return tokenize.encode(_documents(spark, d), _vocabulary(spark))
 
 
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -88,23 +100,23 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.leaked_items(_documents(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.without_leaks(_documents(spark, d), table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.judged(table(spark, d, "documents")).where("fails_runs").select("doc_id")
+    return repetition.judged(_documents(spark, d)).where("fails_runs").select("doc_id")
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.judged(table(spark, d, "documents"))
+    return repetition.judged(_documents(spark, d))
 
 
 def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.host_rates(repetition.failures(repetition.measured(table(spark, d, "documents"))))
+    return repetition.host_rates(repetition.failures(repetition.measured(_documents(spark, d))))
 
 
 QUERIES = {f.__name__: f for f in (
