@@ -67,6 +67,7 @@ def writer_links(alias: DataFrame, corpora: DataFrame) -> DataFrame:
 
 def contracted(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node that a link or `start` names. `start` (node, component) are the components so far."""
+    links = links.checkpoint()  # read once a round
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if start is None:
         held = ends.select("node", F.col("node").alias("component"))
