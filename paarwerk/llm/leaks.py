@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -133,11 +132,12 @@ def without_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WOR
     spark = documents.sparkSession
     shards = spark.sparkContext.broadcast(item_shards(items))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
         automata = [SuffixAutomaton(x, least) for x in shards.value]
         for b in batches:
             rows = []
-            for d, t in zip(b.iloc[:, 0], b.iloc[:, 1]):
+            for d, t in zip(b[0].to_pylist(), b[1].to_pylist()):
                 seq = words(t)
                 ends = [(i, n) for a in automata for i, n, _ in a.matches(seq)]
                 if not ends:
@@ -147,9 +147,9 @@ def without_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WOR
                     gone.update(range(i - n + 1, i + 1))
                 drop = len(gone) > most_coverage * len(seq)
                 rows.append((d, len(seq), len(gone), drop, None if drop else _rest(t, seq, gone)))
-            yield pd.DataFrame(rows, columns=["doc_id", "words", "removed_words", "dropped", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "words", "removed_words", "dropped", "text"])
 
-    return documents.select(key, text).mapInPandas(cut, "doc_id bigint, words int, removed_words int, dropped boolean, text string")
+    return documents.select(key, text).mapInArrow(cut, "doc_id bigint, words int, removed_words int, dropped boolean, text string")
 
 
 def _rest(text: str, seq: list[str], gone: set[int]) -> str:

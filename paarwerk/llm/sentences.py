@@ -17,9 +17,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 from zlib import crc32
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from paarwerk.session import materialise
@@ -326,9 +327,9 @@ class Model:
         return [k for k, y in enumerate(yes) if y]
 
 
-def expected(row, post: list[float], counts: dict[str, float]) -> None:
+def expected(lefts: list[str], rights: list[str], post: list[float], counts: dict[str, float]) -> None:
     """Add one text's expected counts."""
-    for left, right, p in zip(row.lefts, row.rights, post):
+    for left, right, p in zip(lefts, rights, post):
         left = left.lstrip("=")
         if not left:
             continue
@@ -344,18 +345,38 @@ def expected(row, post: list[float], counts: dict[str, float]) -> None:
                     counts[f"R{b[0]} {right}"] += x
 
 
+class Row(NamedTuple):
+    """One text and its places."""
+
+    chunk_id: int
+    side: str
+    text: str
+    ends: list[int]
+    lefts: list[str]
+    rights: list[str]
+    lengths: list[int]
+    inside: list[int]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[Row]:
+    return map(Row._make, zip(*(batch.column(c).to_pylist() for c in Row._fields)))
+
+
+def _batch(rows: list[tuple], kinds: tuple, names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
+
+
 def features(chunks: DataFrame) -> DataFrame:
     """(chunk_id, side, text, ends, lefts, rights, lengths, inside) of every text that isn't blank."""
     tall = chunks.select("chunk_id", F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("text")) for c in ("src", "tgt")])).alias("x")).select("chunk_id", "x.side", "x.text").where("text <> ''")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.string(), *map(pa.list_, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())))
         for b in batches:
-            found = [places(t) for t in b["text"]]
-            for i, c in enumerate(("ends", "lefts", "rights", "lengths", "inside")):
-                b[c] = [x[i] for x in found]
-            yield b[b["ends"].map(len) > 0]
+            rows = [(*r, *places(r[2])) for r in zip(*(c.to_pylist() for c in b.columns))]
+            yield _batch([r for r in rows if r[3]], kinds, ("chunk_id", "side", "text", "ends", "lefts", "rights", "lengths", "inside"))
 
-    return tall.mapInPandas(scan, "chunk_id bigint, side string, text string, ends array<int>, lefts array<string>, rights array<string>, lengths array<int>, inside array<int>")
+    return tall.mapInArrow(scan, "chunk_id bigint, side string, text string, ends array<int>, lefts array<string>, rights array<string>, lengths array<int>, inside array<int>")
 
 
 def trained(texts: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
@@ -364,14 +385,14 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
     for _ in range(rounds):
         held = texts.sparkSession.sparkContext.broadcast(counts)
 
-        def expect(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             model, own = Model(held.value), defaultdict(float)
             for b in batches:
-                for row in b.itertuples():
-                    expected(row, model.posteriors(row.lefts, row.rights, row.lengths), own)
-            yield pd.DataFrame({"key": list(own), "n": list(own.values())})
+                for lefts, rights, lengths in zip(*(c.to_pylist() for c in b.columns)):
+                    expected(lefts, rights, model.posteriors(lefts, rights, lengths), own)
+            yield _batch(list(own.items()), (pa.string(), pa.float64()), ("key", "n"))
 
-        sums = texts.select("lefts", "rights", "lengths").mapInPandas(expect, "key string, n double").groupBy("key").agg(F.round(F.sum("n"), 3).alias("n"))
+        sums = texts.select("lefts", "rights", "lengths").mapInArrow(expect, "key string, n double").groupBy("key").agg(F.round(F.sum("n"), 3).alias("n"))
         counts = {r.key: r.n for r in sums.collect()}
     return counts
 
@@ -381,16 +402,17 @@ def boundaries(chunks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     texts = materialise(features(chunks), "places")
     held = texts.sparkSession.sparkContext.broadcast(trained(texts, rounds))
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(held.value)
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
         for b in batches:
             out = []
-            for row in b.itertuples():
+            for row in _rows(b):
                 at = 0
                 for no, k in enumerate(model.decided(row), 1):
-                    end = int(row.ends[k])
+                    end = row.ends[k]
                     out.append((row.chunk_id, row.side, no, end, row.text[at:end].strip()))
                     at = end
-            yield pd.DataFrame(out, columns=["chunk_id", "side", "sent_no", "end_pos", "sentence"])
+            yield _batch(out, kinds, ("chunk_id", "side", "sent_no", "end_pos", "sentence"))
 
-    return texts.mapInPandas(decide, "chunk_id bigint, side string, sent_no int, end_pos int, sentence string")
+    return texts.mapInArrow(decide, "chunk_id bigint, side string, sent_no int, end_pos int, sentence string")
