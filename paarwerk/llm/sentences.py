@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from paarwerk.session import materialise
 
 ROUNDS = 3
-WORD_BUCKETS = 8192
+WORD_BUCKETS = 65536
 # Abbreviations that seldom end a sentence, in the languages at hand.
 ABBREVIATIONS = frozenset(
     "dr prof fr hr frl st nr mr mrs ms jr sr z b d h u a o s v bzw evtl ca vgl ggf inkl sog str bd kap abb tel geb gest dipl ing "
