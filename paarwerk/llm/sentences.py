@@ -4,8 +4,9 @@ A text is a stream of word and mark classes, between which a boundary token may
 a boundary after a history (the class of the word, its mark and closing signs; short words and abbreviations by
 themselves), the chance of the next class after a boundary and after none, and that of very short sentences. It is
 trained on the whole table by expectation-maximisation: the ends of texts and blank lines are known boundaries, the
-posteriors of all others come from the forward-backward algorithm. The counts are added up by Spark; the number of
-their keys is bounded, since words are hashed to a fixed number of buckets. The last posteriors decide.
+posteriors of all others come from the forward-backward algorithm. The counts are added up by Spark. Those of classes
+without a word are few and are broadcast; those of words are a table by the word itself, which is joined to the texts that
+hold the word, so that no two words share their counts however many there are. The last posteriors decide.
 
 Thai has no marks: there a boundary may be hidden at any blank. A blank line always ends a sentence, a line break alone
 does not. A mark inside a quotation or bracket ends no sentence if the sentence goes on behind it. Null, empty and blank
@@ -18,15 +19,15 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
-from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paarwerk.session import materialise
+from paarwerk.session import join_sized, materialise
 
 ROUNDS = 3
-WORD_BUCKETS = 65536
+#: Words whose counts a task holds before it hands them on; Spark adds up what several tasks or batches say of a word.
+HELD_WORDS = 100_000
 # Abbreviations that seldom end a sentence, in the languages at hand.
 ABBREVIATIONS = frozenset(
     "dr prof fr hr frl st nr mr mrs ms jr sr z b d h u a o s v bzw evtl ca vgl ggf inkl sog str bd kap abb tel geb gest dipl ing "
@@ -62,10 +63,6 @@ def _script(c: str) -> str:
     return "x"
 
 
-def _bucket(w: str) -> int:
-    return crc32(w.encode()) % WORD_BUCKETS
-
-
 def _mark_class(mark: str) -> str:
     if "!" in mark or "?" in mark or "؟" in mark or "‽" in mark:
         return "X"
@@ -85,17 +82,17 @@ def _left_class(word: tuple[str, str, str] | None, mark: str, closed: str) -> st
         return m
     kind, w, before = word
     if kind == "num":
-        return f"P:num:{_bucket(before.lower())}" if len(w) <= 2 else "P:figure"
+        return f"P:num:{before.lower()}" if len(w) <= 2 else "P:figure"
     low = w.lower()
     if low in ABBREVIATIONS or low.endswith("str"):  # also names of streets
-        return f"P:abbr:{_bucket(low)}"
+        return f"P:abbr:{low}"
     if low in EITHER:
-        return f"P:either:{_bucket(low)}"
+        return f"P:either:{low}"
     if len(w) == 1:
         return "P:initial" if w.isupper() else "P:letter"
     if "." in w:
-        return f"P:dotted:{_bucket(low)}"
-    return f"P:short:{_bucket(low)}" if len(w) <= 5 and _script(w[0]) == "x" else "P:word"
+        return f"P:dotted:{low}"
+    return f"P:short:{low}" if len(w) <= 5 and _script(w[0]) == "x" else "P:word"
 
 
 def _right_class(tokens: list[tuple[str, str, int, int]], i: int) -> str:
@@ -113,12 +110,12 @@ def _right_class(tokens: list[tuple[str, str, int, int]], i: int) -> str:
         if s == "th":
             return "th"
         if s != "x":
-            return f"{s}:{_bucket(w)}"
+            return f"{s}:{w}"
         if not w[0].isupper():
             return "lower"
         if len(w) == 1:
             return "initial"
-        return f"month:{_bucket(w.lower())}" if w.lower() in MONTHS else f"cap:{_bucket(w)}"
+        return f"month:{w.lower()}" if w.lower() in MONTHS else f"cap:{w}"
     if w in _BRACKETS:
         return "open("
     if w in _CLOSES:
@@ -244,50 +241,65 @@ def _group(left: str) -> str:
     return left[1:3] if ")" in left else left
 
 
+def _worded(left: str) -> bool:
+    """The history class names a word."""
+    return left[:2] == "P:" and ":" in left[2:]
+
+
+def word_keys(lefts: list[str], rights: list[str]) -> list[str]:
+    """Keys of the words that a text's places are judged by, each once."""
+    return list(dict.fromkeys([*(f"L {x}" for x in lefts if _worded(x)), *(f"R {x}" for x in rights if ":" in x)]))
+
+
+#: (with a boundary, without) of a word that was never met.
+UNMET = (0.0, 0.0)
+
+
 class Model:
-    """Chances from counts over the priors."""
+    """Chances from counts over the priors. The counts of words come with each text: key -> (with a boundary, without)."""
 
     def __init__(self, counts: dict[str, float] | None = None):
         self.n = defaultdict(float, counts or {})
         self.cache: dict[str, float] = {}
 
-    def boundary(self, left: str) -> float:
+    def boundary(self, left: str, met: dict[str, tuple[float, float]]) -> float:
         p = self.cache.get(left)
         if p is None:
             base = left
             while base not in PRIOR:
                 base = base.rpartition(":")[0] if ":" in base else base[:-1]
             mean, weight = PRIOR[base]
-            yes, no = self.n[f"L1 {left}"], self.n[f"L0 {left}"]
+            yes, no = met.get(f"L {left}", UNMET) if _worded(left) else (self.n[f"L1 {left}"], self.n[f"L0 {left}"])
             if base in ("P:word", "P:short"):  # the first chance keeps a third: a word that one text repeats must not become an abbreviation
                 weight += 0.5 * (yes + no)
-            p = self.cache[left] = (yes + mean * weight) / (yes + no + weight)
+            p = (yes + mean * weight) / (yes + no + weight)
+            if not _worded(left):
+                self.cache[left] = p
         return p
 
-    def next(self, right: str, b: str) -> float:
+    def next(self, right: str, b: str, met: dict[str, tuple[float, float]]) -> float:
         """Of a class after a boundary ("1") or after none ("0" and the group of what is before).
 
         The kind's chance, times what the word itself says for or against a boundary; a word that was never met says nothing.
         """
-        key = f"R{b} {right}"
+        kind, _, word = right.partition(":")
+        key = f"R{b} {kind}"
         p = self.cache.get(key)
         if p is None:
-            kind, _, word = right.partition(":")
             group, total = b[1:], self.n[f"K{b}"]
             prior = NEXT[kind][b != "1"] * (UNLIKELY if group in ("E", "either", "q:") and kind in ("cap", "initial", "open", "open(", "item") else 1)
             # Half of the first chances stays: one kind of text must not set those of all others. Behind an ordinary word with a
             # full stop most of them stays, since places without a boundary are hardly ever sure there.
             weight = KIND_WEIGHT + total * (4 if group == "word" else 1)
-            p = (self.n[f"K{b} {kind}"] + prior * weight) / (total + weight) if kind not in CASELESS else 1.0
-            if word:
-                yes, no = self.n[f"R1 {right}"], self.n[f"R0 {right}"]
-                k1, k0 = self.n[f"K1 {kind}"] + 1, self.n[f"A0 {kind}"] + 1
-                base = k1 / (k1 + k0) if b == "1" else k0 / (k1 + k0)
-                p *= ((yes if b == "1" else no) + WORD_WEIGHT * base) / (yes + no + WORD_WEIGHT) / base
-            self.cache[key] = p
+            p = self.cache[key] = (self.n[f"K{b} {kind}"] + prior * weight) / (total + weight) if kind not in CASELESS else 1.0
+        if word:
+            yes, no = met.get(f"R {right}", UNMET)
+            k1, k0 = self.n[f"K1 {kind}"] + 1, self.n[f"A0 {kind}"] + 1
+            base = k1 / (k1 + k0) if b == "1" else k0 / (k1 + k0)
+            p *= ((yes if b == "1" else no) + WORD_WEIGHT * base) / (yes + no + WORD_WEIGHT) / base
         return p
 
-    def posteriors(self, lefts: list[str], rights: list[str], lengths: list[int]) -> list[float]:
+    def posteriors(self, lefts: list[str], rights: list[str], lengths: list[int], met: dict[str, tuple[float, float]]) -> list[float]:
         """Forward-backward over the places; the state is whether the place holds a boundary."""
         n = len(lefts)
         if not n:
@@ -297,8 +309,8 @@ class Model:
             if left[:1] == "=":
                 steps.append(((0.0, 1.0), (0.0, 1.0)))
                 continue
-            p = self.boundary(left)
-            y, z = p * self.next(right, "1"), (1 - p) * self.next(right, "0" + _group(left))
+            p = self.boundary(left, met)
+            y, z = p * self.next(right, "1", met), (1 - p) * self.next(right, "0" + _group(left), met)
             odds = SHORT.get(length, 1.0) if left[:2] == "P:" else 1.0
             steps.append(((z, y), (z, y * odds)))
         forward, f = [], (0.0, 1.0)
@@ -319,7 +331,7 @@ class Model:
 
     def decided(self, row) -> list[int]:
         """The places that are boundaries: those of a posterior over a half; none inside a quotation behind which the sentence goes on."""
-        post = self.posteriors(row.lefts, row.rights, row.lengths)
+        post = self.posteriors(row.lefts, row.rights, row.lengths, _met(row.met))
         yes = [p > 0.5 for p in post]
         for k, at in enumerate(row.inside):
             if yes[k] and (at == -3 or at >= 0 and not yes[at]) and row.lefts[k][:1] != "=":
@@ -327,8 +339,8 @@ class Model:
         return [k for k, y in enumerate(yes) if y]
 
 
-def expected(lefts: list[str], rights: list[str], post: list[float], counts: dict[str, float]) -> None:
-    """Add one text's expected counts."""
+def expected(lefts: list[str], rights: list[str], post: list[float], counts: dict[str, float], words: dict[str, list[float]]) -> None:
+    """Add one text's expected counts: of classes without a word, and of words with a boundary and without."""
     for left, right, p in zip(lefts, rights, post):
         left = left.lstrip("=")
         if not left:
@@ -336,13 +348,20 @@ def expected(lefts: list[str], rights: list[str], post: list[float], counts: dic
         kind = right.partition(":")[0]
         for b, x in (("1", p), ("0" + _group(left), 1 - p)):
             if x > 1e-3:
-                counts[f"L{b[0]} {left}"] += x
+                if _worded(left):
+                    words[f"L {left}"][b != "1"] += x
+                else:
+                    counts[f"L{b[0]} {left}"] += x
                 counts[f"K{b}"] += x
                 counts[f"K{b} {kind}"] += x
                 if b != "1":
                     counts[f"A0 {kind}"] += x
                 if ":" in right:
-                    counts[f"R{b[0]} {right}"] += x
+                    words[f"R {right}"][b != "1"] += x
+
+
+def _met(entries: list[dict] | None) -> dict[str, tuple[float, float]]:
+    return {e["key"]: (e["yes"], e["no"]) for e in entries or ()}
 
 
 class Row(NamedTuple):
@@ -356,6 +375,7 @@ class Row(NamedTuple):
     rights: list[str]
     lengths: list[int]
     inside: list[int]
+    met: list[dict] | None
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[Row]:
@@ -367,40 +387,64 @@ def _batch(rows: list[tuple], kinds: tuple, names: tuple[str, ...]) -> pa.Record
 
 
 def features(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, side, text, ends, lefts, rights, lengths, inside) of every text that isn't blank."""
+    """(chunk_id, side, text, ends, lefts, rights, lengths, inside, words) of every text that isn't blank."""
     tall = chunks.select("chunk_id", F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("text")) for c in ("src", "tgt")])).alias("x")).select("chunk_id", "x.side", "x.text").where("text <> ''")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.string(), *map(pa.list_, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())))
+        kinds = (pa.int64(), pa.string(), pa.string(), *map(pa.list_, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())))
         for b in batches:
             rows = [(*r, *places(r[2])) for r in zip(*(c.to_pylist() for c in b.columns))]
-            yield _batch([r for r in rows if r[3]], kinds, ("chunk_id", "side", "text", "ends", "lefts", "rights", "lengths", "inside"))
+            yield _batch([(*r, word_keys(r[4], r[5])) for r in rows if r[3]], kinds, ("chunk_id", "side", "text", "ends", "lefts", "rights", "lengths", "inside", "words"))
+
+    return tall.mapInArrow(scan, "chunk_id bigint, side string, text string, ends array<int>, lefts array<string>, rights array<string>, lengths array<int>, inside array<int>, words array<string>")
 
-    return tall.mapInArrow(scan, "chunk_id bigint, side string, text string, ends array<int>, lefts array<string>, rights array<string>, lengths array<int>, inside array<int>")
 
+def with_met(texts: DataFrame, words: DataFrame | None, columns: list[str]) -> DataFrame:
+    """`columns` of each text and `met`, the counts of its own words. Words and texts are joined by shuffle; a text gets no more than it holds."""
+    if words is None:
+        return texts.select(*columns, F.lit(None).cast("array<struct<key: string, yes: double, no: double>>").alias("met"))
+    spark = texts.sparkSession
+    met = join_sized(texts.select("text_no", F.explode("words").alias("key")), words, ["key"]).groupBy("text_no").agg(F.collect_list(F.struct("key", "yes", "no")).alias("met"))
+    # A number of its own keeps the texts, few bytes but much work, from being put together in few tasks.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return texts.select("text_no", *columns).repartition(parts, "text_no").join(met, "text_no", "left").select(*columns, "met")
 
-def trained(texts: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
-    """Counts after some rounds of expectation-maximisation over all texts. Their keys are bounded by the buckets."""
+
+def trained(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], DataFrame | None]:
+    """Counts after some rounds of expectation-maximisation over all texts: of classes without a word, which are few, and the table of words (key, yes, no)."""
     counts: dict[str, float] = {}
+    words = None
     for _ in range(rounds):
         held = texts.sparkSession.sparkContext.broadcast(counts)
 
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            model, own = Model(held.value), defaultdict(float)
+            model, own, met = Model(held.value), defaultdict(float), defaultdict(lambda: [0.0, 0.0])
+
+            def said() -> pa.RecordBatch:
+                rows = [(k, True, *n) for k, n in met.items()] + [(k, False, n, 0.0) for k, n in own.items()]
+                met.clear()
+                own.clear()
+                return _batch(rows, (pa.string(), pa.bool_(), pa.float64(), pa.float64()), ("key", "word", "yes", "no"))
+
             for b in batches:
-                for lefts, rights, lengths in zip(*(c.to_pylist() for c in b.columns)):
-                    expected(lefts, rights, model.posteriors(lefts, rights, lengths), own)
-            yield _batch(list(own.items()), (pa.string(), pa.float64()), ("key", "n"))
+                for lefts, rights, lengths, known in zip(*(c.to_pylist() for c in b.columns)):
+                    expected(lefts, rights, model.posteriors(lefts, rights, lengths, _met(known)), own, met)
+                    if len(met) > HELD_WORDS:
+                        yield said()
+            yield said()
 
-        sums = texts.select("lefts", "rights", "lengths").mapInArrow(expect, "key string, n double").groupBy("key").agg(F.round(F.sum("n"), 3).alias("n"))
-        counts = {r.key: r.n for r in sums.collect()}
-    return counts
+        sums = with_met(texts, words, ["lefts", "rights", "lengths"]).mapInArrow(expect, "key string, word boolean, yes double, no double")
+        sums = materialise(sums.groupBy("key", "word").agg(F.round(F.sum("yes"), 3).alias("yes"), F.round(F.sum("no"), 3).alias("no")), "counts")
+        counts = {r.key: r.yes for r in sums.where("not word").collect()}
+        words = sums.where("word").drop("word")
+    return counts, words
 
 
 def boundaries(chunks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(chunk_id, side, sent_no, end_pos, sentence) of every sentence, sent_no from 1."""
-    texts = materialise(features(chunks), "places")
-    held = texts.sparkSession.sparkContext.broadcast(trained(texts, rounds))
+    texts = materialise(features(chunks).withColumn("text_no", F.monotonically_increasing_id()), "places")
+    counts, words = trained(texts, rounds)
+    held = texts.sparkSession.sparkContext.broadcast(counts)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(held.value)
@@ -415,4 +459,4 @@ def boundaries(chunks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                     at = end
             yield _batch(out, kinds, ("chunk_id", "side", "sent_no", "end_pos", "sentence"))
 
-    return texts.mapInArrow(decide, "chunk_id bigint, side string, sent_no int, end_pos int, sentence string")
+    return with_met(texts, words, [c for c in Row._fields if c != "met"]).mapInArrow(decide, "chunk_id bigint, side string, sent_no int, end_pos int, sentence string")
