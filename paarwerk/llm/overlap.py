@@ -2,13 +2,13 @@
 
 Equal texts (by their words) are one class, so copies cost one comparison. A near-same pair shares at least four fifths
 of the longer text's words in order; so, of the words sorted by rarity, both classes hold two common words among their
-first few (one for very short or very long texts). These rare words are the keys by which evaluation passages are
-sharded and training texts are routed: a text goes only to the shards of its own rarest words, never to all.
+first few (one for very short or very long texts). These rare words are the keys on which evaluation and training texts are
+joined: a text meets only those of its own rarest words, never all.
 
-The records of a shard are cut into passages, so many that any near-same text holds at least one of them whole; an
-Aho-Corasick automaton over the passages scans the texts that were routed to the shard, the matched intervals of a
-record are merged into its coverage, and a pair with coverage is decided by the exact longest common subsequence of
-src and of tgt.
+The pairs that met are decided by the exact longest common subsequence of src and of tgt. For their coverage the
+evaluation records of an Arrow batch are cut into passages, so many that any near-same text holds at least one of them
+whole; an Aho-Corasick automaton over the passages scans the batch's training texts, and the matched intervals of a
+record are merged. It rejects no near-same pair.
 
 Null, empty and wordless src or tgt are no case. A train and an evaluation row of equal texts are a pair.
 """
