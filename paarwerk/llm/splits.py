@@ -158,11 +158,12 @@ def assign(sizes: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
     return kept.unionByName(placed).unionByName(spark.createDataFrame(big, "component string, split string"))
 
 
-def update(texts: DataFrame, links: DataFrame, path: str, before: str | None = None, shares: dict[str, float] = SHARES) -> DataFrame:
+def update(texts: DataFrame, links: DataFrame, path: str, before: str | None = None, shares: dict[str, float] = SHARES, moved: DataFrame | None = None) -> DataFrame:
     """Bring the component table up to date and write it to `path`: (node, component, n, split, merged).
 
-    texts: (node, n), all texts known by now. before: path of the table so far, if any. `merged` counts the splits that a
-    quarantined component had before.
+    texts: (node, n), all texts known by now. before: path of the table so far, if any. moved: (node, split) of texts that have
+    another writer than before, the writer they have now and the split they had. `merged` counts the splits that a
+    quarantined component, or a text that came to it, had before.
     """
     spark = texts.sparkSession
     nodes = texts.groupBy("node").agg(F.sum("n").alias("n"))
@@ -172,8 +173,9 @@ def update(texts: DataFrame, links: DataFrame, path: str, before: str | None = N
     if old is None:
         had = all_.groupBy("component").agg(F.sum("n").alias("n")).select("component", "n", F.lit(None).cast("string").alias("split"), F.lit(0).alias("merged"))
     else:
-        joined = all_.join(old.select("node", "split"), "node", "left")
-        had = joined.groupBy("component").agg(F.sum("n").alias("n"), F.collect_set("split").alias("_s"))
+        known = old.select("node", "split") if moved is None else old.select("node", "split").unionByName(moved.select("node", "split"))
+        joined = all_.join(known.groupBy("node").agg(F.collect_set("split").alias("_s")), "node", "left")
+        had = joined.groupBy("component").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("_s"))).alias("_s"))
         had = had.select("component", "n", F.when(F.size("_s") > 1, F.lit(QUARANTINE)).otherwise(F.get("_s", F.lit(0))).alias("split"), F.size("_s").alias("merged"))
     had = had.checkpoint()
     done = assign(had.select("component", "n", "split"), shares).join(had.select("component", "merged"), "component")
@@ -196,9 +198,15 @@ def splits(pairs: DataFrame, meta: DataFrame, alias: DataFrame, corpora: DataFra
 
 
 def two_batches(pairs: DataFrame, meta: DataFrame, alias: DataFrame, corpora: DataFrame, paths: tuple[str, str], until: str) -> DataFrame:
-    """The component table after a first batch (loaded, delivered and noted before `until`) and a second with all: (node, component, n, split, merged)."""
+    """The component table after a first batch (loaded, delivered and noted before `until`) and a second with all: (node, component, n, split, merged).
+
+    A text whose author_id is delivered later changes its writer; its split stays if its new writer has no other one, else
+    the new writer's component is in quarantine.
+    """
     early = lambda df, c: df.where(F.col(c) < F.lit(until).cast("timestamp"))
-    first = text_writers(row_texts(early(pairs, "loaded_at"), corpora), meta, corpora)
-    update(first.select("node", "n"), writer_links(early(alias, "noted_at"), corpora), paths[0])
-    last = text_writers(row_texts(pairs, corpora), meta, corpora)
-    return update(last.select("node", "n"), writer_links(alias, corpora), paths[1], before=paths[0])
+    first = materialise(text_writers(row_texts(early(pairs, "loaded_at"), corpora), early(meta, "delivered_at"), corpora), "first-texts")
+    table = update(first.select("node", "n"), writer_links(early(alias, "noted_at"), corpora), paths[0])
+    last = materialise(text_writers(row_texts(pairs, corpora), meta, corpora), "last-texts")
+    was = first.select("corpus", "file", F.col("node").alias("was")).join(table.select(F.col("node").alias("was"), "split"), "was")
+    moved = last.select("corpus", "file", "node").join(was, ["corpus", "file"]).where("node <> was").select("node", "split")
+    return update(last.select("node", "n"), writer_links(alias, corpora), paths[1], before=paths[0], moved=moved)
