@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paarwerk.operators.segment import ABBREVIATIONS
+from paarwerk.plans import goldens
 
 # White space of any kind, as a class body and as a class.
 _S = r"\s\x0b\x{85}\p{Z}"
@@ -86,7 +86,12 @@ WITH c AS (SELECT corpus, text_type, count(*) AS n FROM all_corpora WHERE corpus
 w AS (SELECT *, (sum(n) OVER (PARTITION BY corpus))::BIGINT AS whole FROM c)
 SELECT corpus, text_type, n AS sentence_count, {percent('n', 'whole')} AS percentage FROM w WHERE text_type IS NOT NULL"""
 
-_ABBR = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+# What a full stop belongs to: a number, a letter, and these words.
+_ABBR = r"""[0-9]+|\p{L}|A\.C|a\.D|A\.D|A\.G|a\.M|a\.Z|Abs|adv|al|allg|Apr|Art|Aug|b\.G|Bd|betr|Betr|Bf|Bhf|Biol|biol|Bsp|bspw|bzgl|bzw|c\.t|ca|Chr|co|Co|d\.h|dgl|Dez|Di|Dipl|Do|Dr|
+e\.V|e\.g|E\.h|ebd|Einh|etc|Eur|evtl|Ez|Fa|Fam|Feb|Fr|frz|geb|Gebr|gem|h\.c|Hbf|Hg|hg|Hr|Hrn|hrsg|i\.A|i\.e|i\.G|i\.O|i\.Tr|i\.V|Ing|inkl|insb|Jan|jr|Jr|jun|Jun|jur|Jul|
+K\.O|kath|L\.A|lat|Lat|m\.E|M\.Sc|m\.M|Mag|max|Mi|min|Mio|mind|Mo|Mrd|mrd|mtl|n\.Chr|N\.Y|N\.Y\.C|nat|Nov|Nr|o\.a|o\.ä|o\.g|Okt|orig|österr|p\.a|p\.s|Pkt|Prof|Pfd|
+q\.e\.d|R\.I\.P|rk|Sa|sen|Sep|Sept|sog|sogen|St|std|Std|Str|stv|svw|Tel|Tsd|u\.a|u\.s\.w|u\.v\.m|u\.U|unregelmäß|usw|uva|v\.a|v\.Chr|v\.l\.n\.r|vgl|Vgl|vllt|
+Wirtsch|wiss|wissenschaftl|z\.B|z\.b|z\.T|z\.Z|z\.Zt|zw|zzgl""".replace("\n", "")
 _CUT = "chr(2)"
 
 
@@ -140,7 +145,7 @@ WITH {sentence_rows('a', 'sentencepair', 'chunk_id', 'src')}, {sentence_rows('b'
 SELECT coalesce(a_s.id, b_s.id) AS chunk_id, coalesce(a_s.pos, b_s.pos)::INTEGER AS pos, coalesce(a_s.s, '') AS src, coalesce(b_s.s, '') AS tgt
 FROM a_s FULL JOIN b_s ON a_s.id = b_s.id AND a_s.pos = b_s.pos"""
 
-_TOKEN_PAIRS = f"list_filter(list_transform(list_zip({tokens('src')}, {tokens('tgt')}), lambda z: {{'s': coalesce(z[1], ''), 't': CASE WHEN z[2] = '<DEL>' THEN '' ELSE coalesce(z[2], '') END}}), lambda z: z.s <> '' OR z.t <> '')"
+_TOKEN_PAIRS = f"list_filter(list_transform(list_zip({tokens("coalesce(src, '')")}, {tokens("coalesce(tgt, '')")}), lambda z: {{'s': coalesce(z[1], ''), 't': CASE WHEN z[2] = '<DEL>' THEN '' ELSE coalesce(z[2], '') END}}), lambda z: z.s <> '' OR z.t <> '')"
 
 _H = r'(h[aeo]+|e+|o+|y+e+|gahahaha|hahaha+|noo+)'
 
@@ -179,6 +184,8 @@ WITH t AS (SELECT pair_id, {tidied('src')} AS src, {tidied('tgt')} AS tgt FROM a
 k AS (SELECT pair_id, {list_mark('src')} AS src, {list_mark('tgt')} AS tgt FROM t WHERE NOT ({remark('src', 'tgt')}))
 SELECT * FROM k WHERE src <> '' AND tgt <> '' AND least({n_words('src')}, {n_words('tgt')}) >= 3"""
 
+_CORPUS = f"lower({_re(strip('corpus'), rf'[-_{_S}]+', '_')})"
+
 _MARKED = "string_split(replace(text, chr(10) || chr(10), '<SENTBREAK>'), '<SENTBREAK>')"
 _CHUNKS = f"list_filter(list_transform({_MARKED}, lambda x: {strip('x')}), lambda x: x <> '')"
 
@@ -209,8 +216,9 @@ WHEN contains(xml_file, '_pic_') THEN 'picture story' WHEN contains(xml_file, '_
     "punctuation_spacing": f"SELECT doc_id, {strip(_re(_re('text', ' +', ' '), f'{_WS}+([.:;!?,])', chr(92) + '1'))} AS text, regexp_matches({strip('text')}, '[.!?]$') AS ends_sentence FROM documents",
     "word_count_filter": f"SELECT pair_id, least({n_words('src')}, {n_words('tgt')})::INTEGER AS n_words FROM all_corpora WHERE least({n_words('src')}, {n_words('tgt')}) >= 3",
     "remark_filter": f"SELECT doc_id FROM documents WHERE {remark('text')}",
-    "dedup_first": "SELECT min(pair_id) AS pair_id FROM all_corpora GROUP BY xml_file, lower(src), lower(tgt)",
-    "renumber": "SELECT xml_file, pair_id, row_number() OVER (PARTITION BY xml_file ORDER BY pair_id)::INTEGER AS new_num FROM all_corpora",
+    # A document is a file name in a corpus, whatever the corpus's spelling; a row without a file name is one by itself.
+    "dedup_first": f"SELECT min(pair_id) AS pair_id FROM all_corpora GROUP BY {_CORPUS}, xml_file, CASE WHEN xml_file IS NULL THEN pair_id END, lower(src), lower(tgt)",
+    "renumber": f"SELECT xml_file, pair_id, row_number() OVER (PARTITION BY {_CORPUS}, xml_file, CASE WHEN xml_file IS NULL THEN pair_id END ORDER BY pair_id)::INTEGER AS new_num FROM all_corpora",
     "limit_per_corpus": "SELECT corpus, path FROM (SELECT DISTINCT corpus, path FROM raw_files) QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY path) <= 5",
     "exclude_anti": "SELECT pair_id, xml_file FROM all_corpora a WHERE NOT EXISTS (SELECT 1 FROM text_meta m WHERE m.school_class_id = 'A' AND m.xml_file = a.xml_file)",
     "share_join": """WITH c AS (SELECT corpus, text_type, count(*) AS n FROM all_corpora WHERE corpus IS NOT NULL AND text_type IS NOT NULL GROUP BY ALL), t AS (SELECT corpus, sum(n)::BIGINT AS corpus_total FROM c GROUP BY corpus)
@@ -218,8 +226,8 @@ SELECT c.corpus, c.text_type, c.n, t.corpus_total FROM c JOIN t ON c.corpus = t.
     "sentence_split": SENTENCES,
     "fragment_merge": FRAGMENTS,
     "zip_longest_sentences": ZIPPED,
-    "zip_longest_tokens": f"WITH x AS (SELECT pair_id, {_TOKEN_PAIRS} AS l FROM all_corpora WHERE src IS NOT NULL AND tgt IS NOT NULL), y AS (SELECT pair_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS z FROM x) SELECT pair_id, pos, z.s AS src_token, z.t AS tgt_token FROM y",
-    "norm_lines": f"SELECT pair_id, coalesce(array_to_string(list_transform({_TOKEN_PAIRS}, lambda z: z.s || chr(9) || z.t || chr(10)), ''), '') AS block FROM all_corpora WHERE src IS NOT NULL AND tgt IS NOT NULL",
+    "zip_longest_tokens": f"WITH x AS (SELECT pair_id, {_TOKEN_PAIRS} AS l FROM all_corpora), y AS (SELECT pair_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS z FROM x) SELECT pair_id, pos, z.s AS src_token, z.t AS tgt_token FROM y",
+    "norm_lines": f"SELECT pair_id, coalesce(array_to_string(list_transform({_TOKEN_PAIRS}, lambda z: z.s || chr(9) || z.t || chr(10)), ''), '') AS block FROM all_corpora",
     "sentbreak_chunks": f"WITH x AS (SELECT doc_id, len({_MARKED}) - 1 AS n, {_CHUNKS} AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, n::INTEGER AS n_breaks, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS chunk FROM x",
     "hash_split": "WITH b AS (SELECT DISTINCT xml_file, ('0x' || substr(md5(xml_file), 1, 8))::BIGINT % 100 AS b FROM all_corpora WHERE xml_file IS NOT NULL) SELECT xml_file, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS split FROM b",
     "csv_round_trip": "SELECT nullif(corpus, '') AS corpus, nullif(lang_prof, '') AS lang_prof, nullif(xml_file, '') AS xml_file, sent_num, nullif(src, '') AS src, nullif(tgt, '') AS tgt, corrected, nullif(text_type, '') AS text_type FROM all_corpora",
