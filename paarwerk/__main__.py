@@ -35,14 +35,14 @@ def run_stats(spark: SparkSession, csv: str) -> dict[str, DataFrame]:
     """Every statistic of a pair CSV, by name; a missing file has none but zeros."""
     pairs = files.read_pairs_csv(spark, csv)
     return {
-        "overview": stats.corpus_overview(pairs).orderBy("corpus"),
-        "sentence count by corpus": stats.count_share(pairs, "corpus", stats.WHOLE),
+        "overview": stats.total_last(stats.corpus_overview(pairs), stats.WHOLE, "corpus"),
+        "sentence count by corpus": stats.total_last(stats.count_share(pairs, "corpus", stats.WHOLE), stats.WHOLE, "corpus"),
         "corrections by corpus": stats.correction_breakdown(pairs).orderBy("corpus"),
         "corrections": stats.correction_summary(pairs),
-        "corrected pairs only": stats.corrected_only(pairs).orderBy("corpus"),
-        "text types, sentences": stats.count_share(pairs, "text_type", stats.TOTAL),
-        "text types, documents": stats.documents_by_text_type(pairs),
-        "corpus and text type": stats.corpus_by_text_type(pairs).orderBy("corpus", "text_type"),
+        "corrected pairs only": stats.total_last(stats.corrected_only(pairs), stats.ALL_CORRECTED, "corpus"),
+        "text types, sentences": stats.total_last(stats.count_share(pairs, "text_type", stats.TOTAL), stats.TOTAL, "text_type"),
+        "text types, documents": stats.total_last(stats.documents_by_text_type(pairs), stats.TOTAL, "text_type"),
+        "corpus and text type": stats.total_last(stats.corpus_by_text_type(pairs), stats.WHOLE, "corpus", "text_type"),
     }
 
 

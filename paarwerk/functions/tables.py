@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paarwerk.session import join_sized, strip
+from paarwerk.session import strip
 
 
 def corpus_key(c: Column | str) -> Column:
@@ -26,4 +26,4 @@ def with_registry(df: DataFrame, corpora: DataFrame, column: str = "corpus") ->
     """Give `column` its registry spelling; a corpus that isn't registered keeps its key, null stays null."""
     names = corpora.where(F.col("corpus").isNotNull()).groupBy(corpus_key("corpus").alias("_key")).agg(F.min("corpus").alias("_name"))
     keyed = df.withColumn("_key", corpus_key(column))
-    return join_sized(keyed, names, ["_key"], "left").withColumn(column, F.coalesce("_name", "_key")).drop("_key", "_name")
+    return keyed.join(names, "_key", "left").withColumn(column, F.coalesce("_name", "_key")).drop("_key", "_name")

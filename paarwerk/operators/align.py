@@ -14,6 +14,15 @@ def zip_longest(a: Column, b: Column) -> Column:
     return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: F.struct(F.coalesce(x["a"], F.lit("")).alias("src"), F.coalesce(x["b"], F.lit("")).alias("tgt")))
 
 
+def bag(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(text): the texts of several columns as one bag, nulls included, nothing made distinct."""
+    out = None
+    for c in columns:
+        one = rows.select(F.col(c).alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def chunks(c: Column) -> Column:
     """The parts between sentence breaks that aren't blank."""
     return F.filter(F.transform(F.split(c, BREAK), strip), lambda x: x != "")
@@ -77,7 +86,8 @@ def tokens(c: Column) -> Column:
 
 
 def token_pairs(src: Column, tgt: Column) -> Column:
-    """array<struct<src, tgt>> of the tokens by position; a deleted word has no target, pairs of nothing go."""
+    """array<struct<src, tgt>> of the tokens by position; a null side counts as empty, a deleted word has no target, pairs of nothing go."""
+    src, tgt = (F.coalesce(c, F.lit("")) for c in (src, tgt))
     plain = F.transform(zip_longest(tokens(src), tokens(tgt)), lambda x: F.struct(x["src"].alias("src"), F.when(x["tgt"] == DELETED, "").otherwise(x["tgt"]).alias("tgt")))
     return F.filter(plain, lambda x: (x["src"] != "") | (x["tgt"] != ""))
 

@@ -66,19 +66,19 @@ def first_of_each(pairs: DataFrame, document: list[str], order: list[str]) -> Da
     return first.select(*document, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*pairs.columns)
 
 
-def numbered(df: DataFrame, document: list[str], order: str, number: str, block: int = 4096) -> DataFrame:
-    """Dense numbers from 1 within each document by the unique whole number `order`.
+def numbered(df: DataFrame, document: list[str], order: str | list[str], number: str, block: int = 4096) -> DataFrame:
+    """Dense numbers from 1 within each document in the order of the whole-number columns `order`, unique together.
 
-    Documents are numbered in blocks of `order`, so a large one is spread over many tasks; the blocks' sizes, added up
+    Documents are numbered in blocks of the last of them, so a large one is spread over many tasks; the blocks' sizes, added up
     over each document's earlier blocks, are put before.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / block))
-    sizes = cut.groupBy(*document, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*document).orderBy("_block")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(W.partitionBy(*document, "_block").orderBy(order))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*document, "_block"]]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
+    *outer, last = [order] if isinstance(order, str) else order
+    cut = df.withColumn("_block", F.floor(F.col(last) / block))
+    sizes = cut.groupBy(*document, *outer, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*document).orderBy(*outer, "_block")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(W.partitionBy(*document, *outer, "_block").orderBy(last))
+    condition = F.lit(True)
+    for c in (*document, *outer, "_block"):
+        condition = condition & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     joined = cut.withColumn("_place", place).alias("l").join(before.alias("r"), condition)
     return joined.select("l.*", "_before").withColumn(number, (F.col("_before") + F.col("_place")).cast("int")).drop("_before", "_place", "_block")

@@ -9,7 +9,6 @@ from paarwerk.operators.clean import filtered, first_of_each, numbered
 from paarwerk.operators.linearize import linearise
 from paarwerk.session import materialise
 
-SECTION_STEP, PAIR_STEP = 1_000_000, 1
 NUMBERED_CORPORA = ["Kolipsi_1_L1", "Kolipsi_1_L2", "Kolipsi_2"]
 
 
@@ -22,15 +21,14 @@ def text_type(corpus: Column | str, xml_file: Column | str) -> Column:
 
 
 def raw_pairs(files: DataFrame, strict: bool = False) -> DataFrame:
-    """(doc, pos, src, tgt, corrected, has_foreign) of files (doc, content, dialect); pos is unique and in order within a document."""
-    cut = sentence_pairs(linearise(files, strict).where("error is null"))
-    return cut.select("doc", (F.col("section").cast("long") * SECTION_STEP + F.col("pos")).alias("pos"), "src", "tgt", "corrected", "has_foreign")
+    """(doc, section, pos, src, tgt, corrected, has_foreign) of files (doc, content, dialect); section and pos are the order within a document."""
+    return sentence_pairs(linearise(files, strict).where("error is null"))
 
 
 def extract(files: DataFrame, strict: bool = False) -> DataFrame:
     """(doc, sent_num, src, tgt, corrected) of files (doc, content, dialect): cleaned, the first of equal pairs of a document, numbered from 1."""
-    kept = materialise(first_of_each(filtered(raw_pairs(files, strict)), ["doc"], ["pos"]), "pairs")
-    return numbered(kept, ["doc"], "pos", "sent_num").select("doc", "sent_num", "src", "tgt", "corrected")
+    kept = materialise(first_of_each(filtered(raw_pairs(files, strict)), ["doc"], ["section", "pos"]), "pairs")
+    return numbered(kept, ["doc"], ["section", "pos"], "sent_num").select("doc", "sent_num", "src", "tgt", "corrected")
 
 
 def pair_table(files: DataFrame, strict: bool = False) -> DataFrame:
@@ -44,3 +42,9 @@ def pair_table(files: DataFrame, strict: bool = False) -> DataFrame:
 def problems(files: DataFrame, strict: bool = False) -> DataFrame:
     """(doc, error) of the documents that could not be read."""
     return linearise(files, strict).where("error is not null").select("doc", "error")
+
+
+def hash_split(files: DataFrame, name: str = "xml_file") -> DataFrame:
+    """(name, split) of each file: train, dev and test in the declared shares 80 / 10 / 10, by a hash of the name. Rows without a name have no split."""
+    bucket = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % 100
+    return files.where(F.col(name).isNotNull()).select(name).distinct().withColumn("split", F.when(bucket < 80, "train").when(bucket < 90, "dev").otherwise("test"))

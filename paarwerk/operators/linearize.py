@@ -41,6 +41,16 @@ def local(tag) -> str:
     return tag.rpartition("}")[2].lower() if isinstance(tag, str) else ""
 
 
+def leads(text: str | None) -> bool:
+    """The text begins with white space."""
+    return bool(text) and text[0].isspace()
+
+
+def trails(text: str | None) -> bool:
+    """The text ends in white space."""
+    return bool(text) and text[-1].isspace()
+
+
 class Line:
     """One side of the text, written piece by piece."""
 
@@ -94,7 +104,7 @@ class Page:
     def behind(self, node: ET.Element, glued: bool) -> None:
         """The text behind an element: apart from it where white space parts them, else as the element has it."""
         if node.tail:
-            if node.tail[0].isspace():
+            if leads(node.tail):
                 self.gap()
             self.both(node.tail, glued)
 
@@ -137,7 +147,7 @@ def _original(node: ET.Element | None, strict: bool) -> str:
             if not strict:
                 piece(n.text)
             piece("".join(n.itertext()))
-            if n.tail and n.tail.strip() and n.tail[0].isspace():
+            if n.tail and n.tail.strip() and leads(n.tail):
                 out.append(" ")
         else:
             piece(n.text)
@@ -235,7 +245,7 @@ def _x_name(page: Page, node: ET.Element) -> None:
 
 def _x_plain(page: Page, node: ET.Element) -> None:
     page.both(node.text)
-    if node.text and node.text[-1].isspace():
+    if trails(node.text):
         page.gap()
     for c in node:
         _x_node(page, c)
@@ -387,3 +397,20 @@ def linearise(files: DataFrame, strict: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc", "dialect", "section", "src", "tgt", "error"])
 
     return files.select("doc", "content", "dialect").mapInArrow(scan, SECTIONS)
+
+
+def line_facts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, leads, trails, ends_sentence): a text as a line writes it, whether it began and ended with white space, and whether it ends a sentence. Null stays null."""
+    kind = dict(texts.dtypes)[key]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b[1].to_pylist():
+                line = Line()
+                line.pieces = [t or ""]
+                out.append((None,) * 4 if t is None else (line.text(), leads(t), trails(t), line.ends_sentence()))
+            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b[0], *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=[key, "text", "leads", "trails", "ends_sentence"])
+
+    return texts.select(key, text).mapInArrow(scan, f"{key} {kind}, text string, leads boolean, trails boolean, ends_sentence boolean")

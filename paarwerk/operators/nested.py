@@ -18,7 +18,7 @@ from xml.parsers import expat
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paarwerk.session import join_sized, materialise
+from paarwerk.session import materialise
 
 # Names of annotations and of their fields.
 ANNOTATIONS = frozenset(("error", "over_capitalisation"))
@@ -162,4 +162,4 @@ def field_rows(files: DataFrame) -> DataFrame:
     asked = rows.where(name.isin(*ANNOTATIONS, *CHILD_FIELDS) | name.startswith(ANNOTATION_START))
     fields = materialise(annotation_fields(materialise(objects(asked), "objects")), "fields")
     places = occurrences(rows).where("annotation").select("file_id", F.col("node_no").alias("ann_no"), F.col("ann_no").alias("parent_ann_no"), "hash")
-    return join_sized(places, fields, ["hash"]).drop("hash")
+    return places.join(fields, "hash").drop("hash")

@@ -2,7 +2,8 @@
 
 Marks of known splits are put into the text, the text is cut at them and behind closing punctuation, and fragments are
 joined again where the next one starts in lower case or the one before has no end. Null and blank give an empty array.
-Abbreviations in ABBREVIATIONS end no sentence; other exceptions of a full tokenizer are not known here.
+A full stop that belongs to its word ends no sentence: those of ABBREVIATIONS, of single letters and of numbers (ordinals), as
+in a rule sentencizer over a German tokenizer; other exceptions of such a tokenizer are not known here.
 """
 
 from __future__ import annotations
@@ -12,8 +13,14 @@ from pyspark.sql import Column, functions as F
 from paarwerk.session import strip
 
 SPLIT = "<SPLIT>"
-# Words whose full stop doesn't cut a text.
-ABBREVIATIONS = ["Nr", "Dr", "Prof", "St", "bzw", "ca", "evtl", "vgl", "z.B", "d.h", "u.a", "usw", "Hr", "Fr"]
+# Words whose full stop belongs to them, the exceptions of a German tokenizer.
+ABBREVIATIONS = (
+    "A.C a.D A.D A.G a.M a.Z Abs adv al allg Apr Art Aug b.G Bd betr Betr Bf Bhf Biol biol Bsp bspw bzgl bzw c.t ca Chr co Co d.h dgl Dez Di Dipl Do Dr "
+    "e.V e.g E.h ebd Einh etc Eur evtl Ez f Fa Fam Feb Fr frz geb Gebr gem h.c Hbf Hg hg Hr Hrn hrsg i.A i.e i.G i.O i.Tr i.V Ing inkl insb Jan jr Jr jun Jun jur Jul "
+    "K.O kath L.A lat Lat m.E M.Sc m.M Mag max Mi min Mio mind Mo Mrd mrd mtl n.Chr N.Y N.Y.C nat Nov Nr o.a o.ä o.g Okt orig österr p.a p.s Pkt Prof Pfd "
+    "q.e.d R.I.P rk Sa sen Sep Sept sog sogen St std Std Str stv svw Tel Tsd u.a u.s.w u.v.m u.U unregelmäß usw uva v.a v.Chr v.l.n.r vgl Vgl vllt "
+    "Wirtsch wiss wissenschaftl z.B z.b z.T z.Z z.Zt zw zzgl"
+).split()
 # The splits in their order, as (Java pattern, replacement).
 SPLITS = [
     (r"\.{2,}", f".{SPLIT}"),
@@ -25,7 +32,7 @@ SPLITS = [
     (r"(?U)([.!?])\s+([A-ZÄÖÜ])", f"$1{SPLIT}$2"),
 ]
 #: A cut behind closing punctuation, but not behind an abbreviation.
-CUT = r"(?U)(?<=[.?!])(?<!" + r")(?<!".join(rf"\b{a.replace('.', chr(92) + '.')}\." for a in ABBREVIATIONS) + r")\s+"
+CUT = r"(?U)(?<=[.?!])(?<!\b(?:\p{L}|\d{1,99}|" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.)\s+"
 LIST_MARK = r"(?U)^\s*\d+\s*(?:\.?\s*\))\s*"
 
 
@@ -48,18 +55,19 @@ def fragments(c: Column) -> Column:
 
 
 def merged(pieces: Column) -> Column:
-    """Join a fragment to the one before if it starts in lower case or the one before has no closing punctuation."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, x: Column) -> Column:
-        goes_on = x.rlike(r"^\p{javaLowerCase}") | ~acc["open"].rlike("[.!?]$")
-        first = acc["open"] == ""
-        return F.struct(
-            F.when(first | goes_on, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"),
-            F.when(first, x).when(goes_on, F.concat(acc["open"], F.lit(" "), x)).otherwise(x).alias("open"),
-        )
-
-    return F.aggregate(pieces, zero, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.array_append(a["done"], a["open"])))
+    """Join a fragment to the one before if it starts in lower case or the one before has no closing punctuation.
+
+    Whether a fragment goes on depends on its neighbour alone, so the starts are found first and each run is sliced out: linear in the text.
+    """
+
+    def runs(p: Column) -> Column:
+        goes_on = lambda i: (i > 0) & (F.get(p, i).rlike(r"^\p{javaLowerCase}") | ~F.get(p, i - 1).rlike("[.!?]$"))
+        starts = F.when(F.size(p) > 0, F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: ~goes_on(i))).otherwise(F.array().cast("array<int>"))
+        # A lambda's argument is computed once; a column in its body would be computed for each fragment.
+        cut = lambda s: F.transform(s, lambda i, j: F.array_join(F.slice(p, i + 1, F.coalesce(F.get(s, j + 1), F.size(p)) - i), " "))
+        return F.transform(F.array(starts), cut)[0]
+
+    return F.transform(F.array(pieces), runs)[0]
 
 
 def sentences(c: Column | str) -> Column:

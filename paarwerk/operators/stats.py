@@ -116,6 +116,21 @@ def corpus_by_text_type(pairs: DataFrame) -> DataFrame:
     return kept.select("corpus", "text_type", "sentence_count", percent_text("sentence_count", whole).alias("percentage")).where("text_type is not null")
 
 
+def text_lengths(texts: DataFrame) -> DataFrame:
+    """(text_length, n): how many texts have each length in characters; null texts have none."""
+    return texts.groupBy(F.length("text").alias("text_length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_total_of(counts: DataFrame, key: str, count: str, total: str) -> DataFrame:
+    """Each group's total beside its counts; `counts` has a few rows per key, so the window is over counts, not rows."""
+    return counts.withColumn(total, F.sum(count).over(W.partitionBy(key)))
+
+
+def total_last(table: DataFrame, total: str, *keys: str) -> DataFrame:
+    """Sorted by its keys, the rows of the total at the end."""
+    return table.orderBy(F.col(keys[0]) == total, *keys)
+
+
 def profile_counts(pairs: DataFrame) -> DataFrame:
     return pairs.where("corpus is not null and lang_prof is not null").groupBy("corpus", "lang_prof").agg(F.count(F.lit(1)).alias("pair_count"))
 

@@ -189,6 +189,13 @@ _CORPUS = f"lower({_re(strip('corpus'), rf'[-_{_S}]+', '_')})"
 _MARKED = "string_split(replace(text, chr(10) || chr(10), '<SENTBREAK>'), '<SENTBREAK>')"
 _CHUNKS = f"list_filter(list_transform({_MARKED}, lambda x: {strip('x')}), lambda x: x <> '')"
 
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    one = lambda x: str(x).upper() if isinstance(x, bool) else f"{x}::INTEGER" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({', '.join(names.split())})"
+
+
 ORACLES = {
     "corpus_overview": OVERVIEW,
     "corrected_only": CORRECTED,
@@ -230,5 +237,15 @@ SELECT c.corpus, c.text_type, c.n, t.corpus_total FROM c JOIN t ON c.corpus = t.
     "norm_lines": f"SELECT pair_id, coalesce(array_to_string(list_transform({_TOKEN_PAIRS}, lambda z: z.s || chr(9) || z.t || chr(10)), ''), '') AS block FROM all_corpora",
     "sentbreak_chunks": f"WITH x AS (SELECT doc_id, len({_MARKED}) - 1 AS n, {_CHUNKS} AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, n::INTEGER AS n_breaks, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS chunk FROM x",
     "hash_split": "WITH b AS (SELECT DISTINCT xml_file, ('0x' || substr(md5(xml_file), 1, 8))::BIGINT % 100 AS b FROM all_corpora WHERE xml_file IS NOT NULL) SELECT xml_file, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS split FROM b",
+    "scan_files": r"SELECT corpus, r.lang_prof, CASE WHEN corpus = 'LEONIDE' THEN 'P' ELSE 'X' END AS dialect, regexp_extract(path, '[^/]*$') AS xml_file, octet_length(content)::BIGINT AS n_bytes FROM raw_files f JOIN corpora r USING (corpus) WHERE content IS NOT NULL AND regexp_matches(path, '\.[xX][mM][lL]$')",
+    "read_sidecars": "SELECT meta_id, " + ", ".join(f"nullif({strip(f'{c}::VARCHAR')}, 'NA') AS {c}" for c in ("corpus", "xml_file", "author_id", "task_type", "author_l1", "task_year")) + " FROM text_meta",
+    "read_texts": f"SELECT item_id, {strip('text')} AS text FROM eval_items WHERE text IS NOT NULL",
+    "norm_sink": f"SELECT corpus, count(*) AS blank_lines, sum(len({_TOKEN_PAIRS}))::BIGINT AS token_lines FROM all_corpora WHERE corpus IS NOT NULL GROUP BY corpus",
+    "missing_csv": "SELECT corpus, lang_prof, xml_file, sent_num, src, tgt, corrected, text_type FROM all_corpora WHERE false",
+    "golden_sections": _values(goldens.SECTIONS, "doc section src tgt"),
+    "golden_raw_pairs": _values(goldens.RAW, "doc section pos src tgt corrected has_foreign"),
+    "golden_pairs": _values(goldens.PAIRS, "doc sent_num src tgt corrected"),
+    "golden_pairs_strict": _values(goldens.STRICT, "doc sent_num src tgt corrected"),
+    "golden_problems": _values([("not closed",)], "doc"),
     "csv_round_trip": "SELECT nullif(corpus, '') AS corpus, nullif(lang_prof, '') AS lang_prof, nullif(xml_file, '') AS xml_file, sent_num, nullif(src, '') AS src, nullif(tgt, '') AS tgt, corrected, nullif(text_type, '') AS text_type FROM all_corpora",
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from paarwerk.functions.tables import corpus_key
 from paarwerk.operators import align, clean, extract, linearize, nested, segment, stats
+from paarwerk.plans import goldens
 from paarwerk.session import new_path, spread, strip, table
 from paarwerk.sources import files, sinks
+from paarwerk.streaming import ingest
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -91,9 +94,7 @@ def sorted_corpora(spark, d):
 
 def bag_union(spark, d):
     """All sentences of both sides as one bag: how often each length comes."""
-    rows = _pairs(spark, d)
-    bag = rows.select(F.col("src").alias("text")).unionByName(rows.select(F.col("tgt").alias("text")))
-    return bag.groupBy(F.length("text").alias("text_length")).agg(F.count(F.lit(1)).alias("n"))
+    return stats.text_lengths(align.bag(_pairs(spark, d), ["src", "tgt"]))
 
 
 def clean_filters(spark, d):
@@ -109,13 +110,13 @@ def list_marker_strip(spark, d):
 
 
 def whitespace_normal(spark, d):
-    return _documents(spark, d).select("doc_id", align.one_line(F.col("text")).alias("text"), F.col("text").rlike(r"(?U)^\s").alias("leads"), F.col("text").rlike(r"(?U)\s\z").alias("trails"))
+    facts = linearize.line_facts(_documents(spark, d), "doc_id", "text")
+    return _documents(spark, d).select("doc_id", align.one_line(F.col("text")).alias("text")).join(facts.select("doc_id", "leads", "trails"), "doc_id")
 
 
 def punctuation_spacing(spark, d):
     """Blanks collapsed, none before punctuation; and whether the text ends a sentence."""
-    text = strip(F.regexp_replace(F.regexp_replace("text", " +", " "), r"(?U)\s+([.:;!?,])", "$1"))
-    return _documents(spark, d).select("doc_id", text.alias("text"), strip("text").rlike(r"[.!?]$").alias("ends_sentence"))
+    return linearize.line_facts(_documents(spark, d), "doc_id", "text").select("doc_id", "text", "ends_sentence")
 
 
 def word_count_filter(spark, d):
@@ -126,12 +127,21 @@ def remark_filter(spark, d):
     return _documents(spark, d).where(clean.is_remark("text")).select("doc_id")
 
 
+def _by_document(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Rows with their document: the file name in its corpus, whose spelling doesn't count; a row without a file is one by itself."""
+    alone = F.when(F.col("xml_file").isNull(), F.col("pair_id"))
+    return _pairs(spark, d).select(corpus_key("corpus").alias("in_corpus"), "xml_file", alone.alias("alone"), "pair_id", *columns)
+
+
+DOCUMENT = ["in_corpus", "xml_file", "alone"]
+
+
 def dedup_first(spark, d):
-    return clean.first_of_each(_pairs(spark, d).select("xml_file", "pair_id", "src", "tgt"), ["xml_file"], ["pair_id"]).select("pair_id")
+    return clean.first_of_each(_by_document(spark, d, "src", "tgt"), DOCUMENT, ["pair_id"]).select("pair_id")
 
 
 def renumber(spark, d):
-    return clean.numbered(_pairs(spark, d).select("xml_file", "pair_id"), ["xml_file"], "pair_id", "new_num")
+    return clean.numbered(_by_document(spark, d), DOCUMENT, "pair_id", "new_num").select("xml_file", "pair_id", "new_num")
 
 
 def limit_per_corpus(spark, d):
@@ -140,14 +150,13 @@ def limit_per_corpus(spark, d):
 
 def exclude_anti(spark, d):
     """Rows whose file isn't among the files of one school class."""
-    out = table(spark, d, "text_meta").where("school_class_id = 'A'").select("xml_file").distinct()
-    return _pairs(spark, d).join(out, "xml_file", "left_anti").select("pair_id", "xml_file")
+    return files.excluded(_pairs(spark, d), table(spark, d, "text_meta").where("school_class_id = 'A'")).select("pair_id", "xml_file")
 
 
 def share_join(spark, d):
     """Group counts joined with their totals, as a window over the counts."""
     counts = _pairs(spark, d).where("corpus is not null and text_type is not null").groupBy("corpus", "text_type").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("corpus_total", F.sum("n").over(W.partitionBy("corpus")))
+    return stats.with_total_of(counts, "corpus", "n", "corpus_total")
 
 
 def sentence_split(spark, d):
@@ -167,12 +176,12 @@ def zip_longest_sentences(spark, d):
 
 
 def zip_longest_tokens(spark, d):
-    rows = _spread_pairs(spark, d).where("src is not null and tgt is not null")
+    rows = _spread_pairs(spark, d)
     return rows.select("pair_id", F.posexplode(align.token_pairs(F.col("src"), F.col("tgt"))).alias("pos", "p")).select("pair_id", "pos", F.col("p.src").alias("src_token"), F.col("p.tgt").alias("tgt_token"))
 
 
 def norm_lines(spark, d):
-    return _spread_pairs(spark, d).where("src is not null and tgt is not null").select("pair_id", align.norm_block(F.col("src"), F.col("tgt")).alias("block"))
+    return _spread_pairs(spark, d).select("pair_id", align.norm_block(F.col("src"), F.col("tgt")).alias("block"))
 
 
 def sentbreak_chunks(spark, d):
@@ -183,8 +192,62 @@ def sentbreak_chunks(spark, d):
 
 def hash_split(spark, d):
     """A split per file by a hash of its name: 80 / 10 / 10."""
-    bucket = F.conv(F.substring(F.md5("xml_file"), 1, 8), 16, 10).cast("long") % 100
-    return _pairs(spark, d).where("xml_file is not null").select("xml_file", F.when(bucket < 80, "train").when(bucket < 90, "dev").otherwise("test").alias("split")).distinct()
+    return extract.hash_split(_pairs(spark, d))
+
+
+def _exported(spark: SparkSession, d: str) -> tuple[str, list[dict]]:
+    """raw_files written as files, `corpus/file_id/name`, and a registry of their folders."""
+    folder = new_path(spark, "export")
+    raw = _raw(spark, d).where("content is not null")
+    sinks.write_files(raw.select(F.concat_ws("/", "corpus", "file_id", F.element_at(F.split("path", "/"), -1)).alias("path"), "content"), folder)
+    names = table(spark, d, "corpora").collect()  # the registry: a fixed table of a few rows
+    return folder, [{"corpus": r.corpus, "base_dir": f"{folder}/{r.corpus}", "lang_prof": r.lang_prof, "dialect": "P" if r.corpus == "LEONIDE" else "X"} for r in names]
+
+
+def scan_files(spark, d):
+    """The files of the registry's folders, found again on disk."""
+    _, registry = _exported(spark, d)
+    return files.scan_corpora(spark, registry).select("corpus", "lang_prof", "dialect", "xml_file", F.length("content").cast("long").alias("n_bytes"))
+
+
+def stream_files(spark, d):
+    """One corpus's folder read as a stream: pairs per file, each file once."""
+    _, registry = _exported(spark, d)
+    entry = next(r for r in registry if r["dialect"] == "P")
+    out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
+    ingest.ingest(ingest.drop_folder(spark, entry["base_dir"], entry["corpus"], entry["lang_prof"], entry["dialect"]), out, state).awaitTermination()
+    return spark.read.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.PAIRS)).parquet(out).groupBy("xml_file").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def read_sidecars(spark, d):
+    """text_meta written as `key=value` files and read back."""
+    folder = new_path(spark, "sidecars")
+    fields = ["corpus", "xml_file", "author_id", "task_type", "author_l1", "task_year"]
+    lines = F.array_join(F.filter(F.array(*[F.concat(F.lit(f" {c} = "), F.col(c).cast("string")) for c in fields]), lambda x: x.isNotNull()), "\n")
+    sinks.write_files(table(spark, d, "text_meta").select(F.concat(F.col("meta_id").cast("string"), F.lit(".meta")).alias("path"), F.encode(lines, "UTF-8").alias("content")), folder)
+    found = files.read_sidecars(spark, folder)
+    return found.select(F.regexp_extract("path", r"(\d+)\.meta$", 1).cast("long").alias("meta_id"), *[F.col("meta")[c].alias(c) for c in fields])
+
+
+def read_texts(spark, d):
+    """eval_items written as one text file each and read back whole."""
+    folder = new_path(spark, "texts")
+    rows = table(spark, d, "eval_items").where("text is not null")
+    sinks.write_files(rows.select(F.concat(F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content")), folder)
+    return files.read_texts(spark, folder).select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("item_id"), "text")
+
+
+def norm_sink(spark, d):
+    """Verticalised pairs written per corpus and read back: lines of each kind."""
+    path = new_path(spark, "norm")
+    sinks.write_norm(_pairs(spark, d).where("corpus is not null"), path)
+    lines = spark.read.schema("value string, corpus string").text(path)
+    return lines.groupBy("corpus").agg(F.count_if(F.col("value") == "").alias("blank_lines"), F.count_if(F.col("value") != "").alias("token_lines"))
+
+
+def missing_csv(spark, d):
+    """A CSV that isn't there is an empty pair table."""
+    return files.read_pairs_csv(spark, new_path(spark, "missing"))
 
 
 def csv_round_trip(spark, d):
@@ -226,6 +289,31 @@ def extract_problems(spark, d):
     return extract.problems(_docs(spark, d))
 
 
+def _golden_files(spark: SparkSession) -> DataFrame:
+    rows = [(name, bytearray(xml.encode()), dialect) for name, (dialect, xml) in goldens.DOCUMENTS.items()]
+    return spark.createDataFrame(rows, "doc string, content binary, dialect string")
+
+
+def golden_sections(spark, d):
+    return linearize.linearise(_golden_files(spark)).where("error is null").select("doc", "section", "src", "tgt")
+
+
+def golden_raw_pairs(spark, d):
+    return extract.raw_pairs(_golden_files(spark)).select("doc", "section", "pos", "src", "tgt", "corrected", "has_foreign")
+
+
+def golden_pairs(spark, d):
+    return extract.extract(_golden_files(spark))
+
+
+def golden_pairs_strict(spark, d):
+    return extract.extract(_golden_files(spark), strict=True)
+
+
+def golden_problems(spark, d):
+    return extract.problems(_golden_files(spark)).select("doc")
+
+
 def p2_found(spark, d):
     return nested.field_rows(_raw(spark, d)).select("file_id", "ann_no", "parent_ann_no", "field", "field_seq")
 
@@ -253,6 +341,7 @@ QUERIES = {f.__name__: f for f in (
     corpus_by_text_type, lang_profile_count, language_tokens, single_text_stats, alpha_tokens, whitespace_tokens, text_type_case, sorted_corpora, bag_union,
     clean_filters, interjection_strip, list_marker_strip, whitespace_normal, punctuation_spacing, word_count_filter, remark_filter, dedup_first, renumber,
     limit_per_corpus, exclude_anti, share_join, sentence_split, fragment_merge, zip_longest_sentences, zip_longest_tokens, norm_lines, sentbreak_chunks,
-    hash_split, csv_round_trip, linearize_p, linearize_x, raw_sentence_pairs, extract_pairs, extract_pairs_strict, extract_problems,
+    hash_split, csv_round_trip, scan_files, stream_files, read_sidecars, read_texts, norm_sink, missing_csv, linearize_p, linearize_x, raw_sentence_pairs, extract_pairs, extract_pairs_strict, extract_problems,
+    golden_sections, golden_raw_pairs, golden_pairs, golden_pairs_strict, golden_problems,
     p2_found, p2_fields, p2_nodes, p2_objects, p2_bridge,
 )}

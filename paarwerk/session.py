@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, tables cut from their lineage, size-checked joins."""
+"""Session helpers: the shared folder, tables cut from their lineage, joins of tables of unknown size."""
 
 from __future__ import annotations
 
@@ -6,13 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows up to which a side may be broadcast; beyond it the join shuffles.
-SMALL_ROWS = 20_000
-
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A table for work that costs much a row: where it has fewer partitions than there are cores (one small file), its rows are
@@ -39,19 +38,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all machines share. Where it is unset, a local session (tests) gets a temporary
+    one; on a cluster a folder of one machine would lose tables, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         found = held.rsplit("/", 1)[0] if held else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="paarwerk-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/paarwerk/{name}-{uuid.uuid4().hex}"
+    """A place of its own in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/paarwerk/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    atexit.register(_forget, spark, path)
+    return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -67,22 +77,47 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables written to the shared folder inside this block are deleted at its end, as a long stream needs it."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            delete_path(spark, path)
+        del _made[before:]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
+    """Write df to the shared folder and read it back: lineage is cut, a lost executor costs nothing, and Catalyst knows the table's size."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, bound: int = SMALL_ROWS) -> bool:
-    return df.limit(bound + 1).count() <= bound
+def is_small(df: DataFrame) -> bool:
+    """Catalyst expects df to fit the session's broadcast bound (spark.sql.autoBroadcastJoinThreshold), so a plain join broadcasts it. No job runs for this."""
+    bound = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= bound
+
+
+def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    return left.join(right, on, how)
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", bound: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast right if it has at most `bound` rows; else an ordinary join, whose skewed keys AQE splits."""
-    return left.join(F.broadcast(right) if is_small(right, bound) else right, on, how)
+def join_hot(rows: DataFrame, held: DataFrame, on: list[str], weight: str, salt: str, how: str = "inner", pieces: int = 200) -> DataFrame:
+    """Join rows to a table with one row per key, of which one may belong to a third of all rows. A small table is broadcast
+    by Catalyst; beyond that, keys with more than 1 / `pieces` of all rows (by `weight`, the rows of each key) are salted by the column `salt` of rows."""
+    if is_small(held):
+        return rows.join(held, on, how)
+    total = held.agg(F.sum(weight)).first()[0]
+    salts = F.greatest(F.lit(1), F.ceil(F.col(weight) * pieces / F.lit(max(total or 0, 1))).cast("int"))
+    large = F.broadcast(held.withColumn("_salts", salts).where("_salts > 1").select(*on, "_salts"))  # fewer than `pieces` keys can be so large
+    cut = rows.join(large, on, "left").withColumn("_salt", F.pmod(F.xxhash64(salt), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return cut.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

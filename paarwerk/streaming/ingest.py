@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paarwerk.operators.extract import pair_table
+from paarwerk.session import passing
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -24,6 +25,7 @@ def ingest(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append the pair table of each micro-batch to Parquet under `out`, in a folder per batch, so that a batch that runs again replaces itself."""
 
     def batch(df: DataFrame, number: int) -> None:
-        pair_table(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with passing(df.sparkSession):
+            pair_table(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -98,3 +98,31 @@ def test_types(spark):
 )
 def test_norm(spark, src, tgt, want):
     assert spark.range(1).select(align.norm_block(F.lit(src), F.lit(tgt)).alias("b")).first().b == want
+
+
+def test_full_stops_that_belong_to_a_word(spark):
+    texts = {"Das kostet ca. 5 Euro. 6 Leute": ["Das kostet ca. 5 Euro.", "6 Leute"], "am 3. 5. war": ["am 3. 5. war"], "Plan B. 4 Tage": ["Plan B. 4 Tage"], "z.B. 7 und usw. 8": ["z.B. 7 und usw. 8"]}
+    df = spark.createDataFrame([(k,) for k in texts], "t string")
+    assert {r.t: r.s for r in df.select("t", segment.sentences("t").alias("s")).collect()} == texts
+
+
+def test_many_sentences(spark):
+    n = 100_000
+    df = spark.createDataFrame([("„Das ist 1 Satz. " * n,)], "t string")
+    assert df.select(F.size(segment.merged(F.split("t", segment.CUT))).alias("n")).first().n == n + 1
+
+
+def test_fragments_go_on(spark):
+    rows = [(["Ein Hund", "bellt.", "laut", "Er geht."], ["Ein Hund bellt. laut Er geht."]), (["a.", "b.", "C.", "D"], ["a. b.", "C.", "D"]), ([], []), (["x"], ["x"])]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, p array<string>")
+    assert [r.m for r in df.orderBy("i").select(segment.merged(F.col("p")).alias("m")).collect()] == [r[1] for r in rows]
+
+
+def test_documents_are_files_of_a_corpus(spark, tmp_path):
+    from paarwerk.plans import queries
+
+    rows = [(1, "A", "f", "x", "y"), (2, "a ", "f", "X", "y"), (3, "B", "f", "x", "y"), (4, "A", None, "x", "y"), (5, "A", None, "x", "y"), (6, None, "f", "x", None)]
+    spark.createDataFrame(rows, "pair_id long, corpus string, xml_file string, src string, tgt string").write.parquet(f"{tmp_path}/all_corpora.parquet")
+    assert sorted(r.pair_id for r in queries.dedup_first(spark, str(tmp_path)).collect()) == [1, 3, 4, 5, 6]
+    assert {r.pair_id: r.new_num for r in queries.renumber(spark, str(tmp_path)).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1}
+    assert {r.pair_id: r.block for r in queries.norm_lines(spark, str(tmp_path)).collect()}[6] == "x\t\n"

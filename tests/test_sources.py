@@ -71,3 +71,47 @@ def test_command_line(spark, corpora, tmp_path, capsys):
     main(["stats", "--csv", str(tmp_path / "out" / "all_corpora.csv")])
     assert "WHOLE_CORPUS" in capsys.readouterr().out
     assert run_stats(spark, str(tmp_path / "none.csv"))["overview"].first().n_sentence_pairs == 0
+
+
+def test_hidden_above_and_underscores(spark, tmp_path):
+    base = tmp_path / ".hidden" / "base"
+    for name in ("_a.xml", "n/_b.XML", "_d/e.xml", "_d/_f/g.xml", "n/.h/i.xml", "j.xml", "k.txt", "_l.txt"):
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_text("<a/>")
+    found = files.scan_corpora(spark, [{"corpus": "A", "base_dir": str(base)}]).collect()
+    assert sorted((r.xml_file, bytes(r.content), r.length) for r in found) == [(n, b"<a/>", 4) for n in ("_a.xml", "_b.XML", "e.xml", "g.xml", "j.xml")]
+
+
+def test_excluded(spark):
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "xml_file string")
+    names = lambda x: sorted(r.xml_file or "" for r in files.excluded(rows, x).collect())
+    assert names([" a "]) == names(rows.where("xml_file = 'a'")) == names(spark.createDataFrame([("a",), (None,), ("a",)], "xml_file string")) == ["", "b"]
+    assert names([]) == ["", "a", "b"]
+
+
+def test_written_files(spark, tmp_path):
+    rows = spark.createDataFrame([("x/a.txt", bytearray(b" 1\n")), ("b.txt", bytearray(b"")), ("none.txt", None)], "path string, content binary")
+    assert sinks.write_files(rows, f"file:{tmp_path}/out") == 2
+    assert sorted(r.text for r in files.read_texts(spark, f"{tmp_path}/out").collect()) == ["1"]  # a file of no bytes is no row
+    assert sinks.write_files(rows.limit(0), f"{tmp_path}/out2") == 0
+
+
+def test_stream_leaves_nothing_behind(spark, corpora, tmp_path):
+    from paarwerk import session
+
+    before = len(session._made)
+    ingest(drop_folder(spark, corpora[0]["base_dir"], "LEONIDE", "L2", "P"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert len(session._made) == before
+
+
+def test_total_row_is_last(spark, tmp_path):
+    from paarwerk.__main__ import run_stats
+
+    rows = [("Z", "L1", "f", 1, "a b c", "a b d", True, "zz"), ("a", "L1", "g", 1, "a b c", "a b d", True, "aa"), ("B", "L1", "g", 2, "a b c", "a b d", True, "U")]
+    sinks.write_pairs_csv(spark.createDataFrame(rows, files.PAIRS), str(tmp_path / "c.csv"))
+    tables = run_stats(spark, str(tmp_path / "c.csv"))
+    firsts = {k: [r[0] for r in t.collect()] for k, t in tables.items()}
+    assert firsts["overview"] == firsts["sentence count by corpus"] == ["B", "Z", "a", "WHOLE_CORPUS"]
+    assert firsts["corrected pairs only"] == ["B", "Z", "a", "ALL_CORRECTED"]
+    assert firsts["text types, sentences"] == firsts["text types, documents"] == ["U", "aa", "zz", "TOTAL"]
+    assert firsts["corpus and text type"][-3:] == ["WHOLE_CORPUS"] * 3
