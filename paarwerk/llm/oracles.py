@@ -1,10 +1,6 @@
 """SQL for those training-data queries that SQL can express over whole tables; the others are tested against brute force,
 the tokenizer's own library or an exact round trip."""
 
-import unicodedata
-
-from paarwerk.llm import textform
-
 _S = r"[\s\x0b\x{85}\p{Z}]"
 
 
@@ -64,20 +60,58 @@ SELECT target_id, wanted, available, drawn, wanted - drawn AS missing, CASE WHEN
 }
 
 
-def _class(chars) -> str:
-    """RE2 class body of some characters."""
-    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in textform._ranges([ord(c) for c in chars]))
+# What must not stand in a text, by itself: invisible characters, blanks of other kinds, wide, narrow and joined presentation forms.
+_INVISIBLE = r"\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}"
+_BLANKS = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+_WIDE = r"\x{FF01}-\x{FFBE}\x{FFC2}-\x{FFC7}\x{FFCA}-\x{FFCF}\x{FFD2}-\x{FFD7}\x{FFDA}-\x{FFDC}\x{FFE0}-\x{FFE6}\x{FFE8}-\x{FFEE}"
+_JOINED = r"\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}\x{FB20}-\x{FB29}\x{FB4F}-\x{FBB1}\x{FBD3}-\x{FD3D}\x{FD50}-\x{FD8F}\x{FD92}-\x{FDC7}\x{FDF0}-\x{FDFC}\x{FE70}-\x{FE72}\x{FE74}\x{FE76}-\x{FEFC}"
+# Between these a joiner is spelling.
+_JOINS = r"\x{600}-\x{8FF}\x{900}-\x{DFF}\x{1000}-\x{109F}\x{1780}-\x{18AF}\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}"
+_APART = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}"
+# Pairs that can't be told apart by eye; for words with more such letters than Latin ones.
+_TWINS = ("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχ", "ABESIJKMHOPCTYXaesijopcyxhqwABEZHIKMNOPTYXaikvopux")
+
+
+def _spelled_joiners(t: str, by: str) -> str:
+    """Joiners that are spelling, replaced; twice, because what stands behind one may stand before the next."""
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '([{_JOINS}]){by[0]}([{_JOINS}])', '\1{by[1]}\2', 'g')"
+    return t
+
+
+def _mixed(word: str) -> str:
+    others = rf"list_filter(regexp_extract_all({word}, '\p{{L}}'), lambda c: NOT regexp_matches(c, '[\p{{Latin}}\p{{Common}}]'))"
+    n = rf"len(list_filter(regexp_extract_all({word}, '\p{{L}}'), lambda c: regexp_matches(c, '\p{{Latin}}')))"
+    return f"(len({others}) > 0 AND {n} > 0 AND ({n} >= len({others}) OR len(list_filter({others}, lambda c: NOT contains('{_TWINS[0]}', c))) = 0))"
+
+
+def _words_of(t: str) -> str:
+    return rf"regexp_extract_all(regexp_replace({t}, '[{_APART}]', ' ', 'g'), '[\p{{L}}\p{{M}}]+')"
+
+
+_SIDES = "s AS (SELECT pair_id, 'src' AS side, src AS t FROM all_corpora UNION ALL SELECT pair_id, 'tgt', tgt FROM all_corpora)"
+ORACLES["p3_found"] = rf"""WITH {_SIDES}
+SELECT pair_id, side FROM s WHERE t IS NOT NULL AND (regexp_matches({_spelled_joiners('t', (r'[\x{200C}\x{200D}]', ''))}, '[{_INVISIBLE}]')
+  OR regexp_matches(t, '[{_BLANKS}{_WIDE}{_JOINED}]') OR nfc_normalize(t) <> t OR len(list_filter({_words_of('t')}, lambda w: {_mixed('w')})) > 0)"""
+
+_ASCII = "".join(chr(c) for c in range(33, 127)).replace("'", "''")
+_WIDE_ASCII = "".join(chr(c + 65248) for c in range(33, 127))
+
+
+def _form(t: str) -> str:
+    """The consistent form, for the characters that the tables hold: no presentation forms beyond wide ASCII and Latin ligatures."""
+    for a, b in ((r"\x{200C}", ""), (r"\x{200D}", "")):
+        t = _spelled_joiners(t, (a, b))
+    t = rf"regexp_replace(regexp_replace({t}, '[{_INVISIBLE}]', '', 'g'), '[{_BLANKS}]', ' ', 'g')"
+    t = f"translate({t}, '{_WIDE_ASCII}', '{_ASCII}‌‍')"
+    for a, b in zip("ﬀﬁﬂﬃﬄﬅﬆ", ("ff", "fi", "fl", "ffi", "ffl", "st", "st")):
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"nfc_normalize({t})"
 
 
-def _p3_found() -> str:
-    other = _class(c for c, to in textform.decomposition().items() if to != unicodedata.normalize("NFD", c))
-    alike = _class(textform.LOOK_ALIKE)
-    needs = textform._NEEDS_JOINER[1:-1]
-    kept = rf"regexp_replace(t, '([{needs}])[\x{{200C}}\x{{200D}}]([{needs}])', '\1\2', 'g')"
-    word = lambda x: rf"regexp_matches({x}, '\p{{Latin}}') AND regexp_matches({x}, '[{alike}]') AND NOT regexp_matches({x}, '[^\p{{Latin}}\p{{M}}{alike}]')"
-    mixed = rf"len(list_filter(regexp_extract_all(t, '\p{{L}}[\p{{L}}\p{{M}}]*'), lambda x: {word('x')})) > 0"
-    return rf"""WITH s AS (SELECT pair_id, 'src' AS side, src AS t FROM all_corpora UNION ALL SELECT pair_id, 'tgt', tgt FROM all_corpora)
-SELECT pair_id, side FROM s WHERE t IS NOT NULL AND (regexp_matches({kept}, '[{other}]') OR nfc_normalize(t) <> t OR {mixed})"""
+def _latin(t: str) -> str:
+    parts = rf"regexp_extract_all({t}, '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}]+')"
+    return f"array_to_string(list_transform({parts}, lambda w: CASE WHEN {_mixed('w')} THEN nfc_normalize(translate(w, '{_TWINS[0]}', '{_TWINS[1]}')) ELSE w END), '')"
 
 
-ORACLES["p3_found"] = _p3_found()
+ORACLES["p3_texts"] = f"WITH f AS (SELECT pair_id, {_form('src')} AS src, {_form('tgt')} AS tgt FROM all_corpora) SELECT pair_id, {_latin('src')} AS src, {_latin('tgt')} AS tgt FROM f"

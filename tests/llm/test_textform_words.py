@@ -52,3 +52,37 @@ def test_words():
 def test_spans_hold_the_words(text):
     spans = T.word_spans(text)
     assert [w for w, _, _ in spans] == T.words(text)
+
+
+BEYOND = {
+    "Wа̣ld": "Wạld", "Walе̣d": "Walẹd", "а" + "̖" * 5 + "́": "а" + "̖" * 5 + "́", "a" + "̖" * 5 + "́": "á" + "̖" * 5, "b" * 3 + "̧" * 9 + "̇": "bbḃ" + "̧" * 9,
+    "한국": "한국", "한": "한", "ﾾￂﾤ": "하ᄂ", "ᅡᆨx": "ᅡᆨx", "কো কো": "কো কো", "ොා්": "ොා්",
+    "ոice": "nice", "Ꭺpple": "Apple", "Жurnal": "Zheurnal", "журнaл": "журнaл", "kΩ": "komega".replace("o", "O", 1), "T恤 TV를 ไทยa": "T恤 TV를 ไทยa", "ёlёf": "ëlëf", "Haυs": "Haus",
+}
+
+
+def test_beyond_single_letters(spark):
+    """Look-alikes with marks, any number of marks, Hangul in parts, second parts that are no marks, letters of any other script."""
+    assert {t: T.consistent(t) for t in BEYOND} == BEYOND
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(BEYOND)], "pair_id long, src string, tgt string")
+    assert [r.src for r in T.consistent_columns(df, "pair_id", ["src", "tgt"]).orderBy("pair_id").collect()] == list(BEYOND.values())
+
+
+def test_operator_equals_function_on_all_kinds(spark):
+    rng = random.Random(11)
+    kinds = [list("abWäöạ̣̀̈̇̇"), list("аеоѕёйжψωάһ"), [p[1] for p in T.composition()][::37], [p[0] for p in T.composition()][::29], list(T.plain())[::41], list(T.decomposition())[::31], [chr(c) for c in range(0x1100, 0x1200, 5)], list(" \n.-क्ष‍‌👩​")]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "pair_id long, src string, tgt string")
+    got = {r.pair_id: r.src for r in T.consistent_columns(df, "pair_id", ["src", "tgt"]).collect()}
+    assert got == {i: T.consistent(t) for i, t in enumerate(texts)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=20))
+def test_form_is_of_unicode_where_nothing_else_is_asked(text):
+    if not any(c in T.plain() for c in text) and not any(T._OTHER.match(c) for c in text):
+        assert T.consistent(text) == U.normalize("NFC", text)
+
+
+def test_words_after_the_form():
+    assert T.words("Größen-\nlehre und Wald－\xa0\nweg ạ-\nx") == ["grössenlehre", "und", "waldweg", "ạx"]
