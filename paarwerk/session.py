@@ -100,7 +100,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def is_small(df: DataFrame) -> bool:
     """Catalyst expects df to fit the session's broadcast bound (spark.sql.autoBroadcastJoinThreshold), so a plain join broadcasts it. No job runs for this."""
     bound = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= bound
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= bound
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
