@@ -189,3 +189,42 @@ def test_copies_are_one_class(spark):
     assert near_classes.count() == 2 and members.count() == 301
     got = O.row_pairs(df).collect()
     assert len(got) == len(set(map(tuple, got))) == 6 * 294 + 294
+
+
+def plain_pairs(rows):
+    cut = [(r[0], r[3], words(r[1]), words(r[2])) for r in rows]
+    return {(min(a[0], b[0]), max(a[0], b[0])) for a in cut if a[1] == "train" for b in cut if b[1] in ("dev", "test") and near(a[2], b[2]) and near(a[3], b[3])}
+
+
+def test_hot_words_and_blocks(spark, monkeypatch):
+    """One word in every tenth row, a small vocabulary, and keys with more records and texts than a block holds."""
+    monkeypatch.setattr(O, "RECORD_BLOCK", 2)
+    monkeypatch.setattr(O, "TEXT_BLOCK", 3)
+    monkeypatch.setattr(O, "RECORDS", 4)
+    rng = random.Random(8)
+    rows = []
+    for i in range(500):
+        t = [rng.choice("abcd") for _ in range(rng.choice([2, 3, 4, 5, 6]))] + (["hot"] if i % 10 == 0 else [])
+        rows.append((i, " ".join(t), " ".join(t), rng.choice(["train", "dev"])))
+    df = spark.createDataFrame(rows, "pair_id long, src string, tgt string, data_split string")
+    got = [tuple(r) for r in O.row_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_pairs(rows)
+
+
+def test_coverage_is_of_all_texts(spark):
+    """Passages that stand in different training texts add up; copies cover all."""
+    corpora = spark.createDataFrame([("LEONIDE",)], "corpus string")
+    a = [f"w{i}" for i in range(10)]
+    one, two = a[:9] + ["x"], ["y"] + a[1:]
+    rows = [(1, None, " ".join(a), " ".join(a), "dev"), (2, None, " ".join(one), " ".join(one), "train"), (3, None, " ".join(two), " ".join(two), "train")]
+    schema = "pair_id long, corpus string, src string, tgt string, data_split string"
+    got = [tuple(r) for r in O.report(spark.createDataFrame(rows, schema), corpora).collect()]
+    assert got == [("dev", None, 2, 1, 1.0)]
+    got = [tuple(r) for r in O.report(spark.createDataFrame(rows[:2], schema), corpora).collect()]
+    assert got[0][4] == round(O.passages(a)[-1][0] / 10, 4)
+
+
+def test_frequencies_count_every_row(spark):
+    df = spark.createDataFrame([("a b a",), ("a c",), ("ü",)], "tgt string")
+    n = O.Frequencies(O.frequencies(df))
+    assert [n.get(w) for w in ("a", "b", "c", "ü", "none")] == [2, 1, 1, 1, 0]
