@@ -108,7 +108,7 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.judged(_documents(spark, d)).where("fails_runs").select("doc_id")
+    return repetition.judged(_documents(spark, d)).where("suspect and fails_runs").select("doc_id")
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:

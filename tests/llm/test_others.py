@@ -55,6 +55,13 @@ def test_repetition_operator(spark):
     assert R.judged(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_every_high_share_is_a_suspect(spark):
+    """Whatever the host's rate, no document that the exact rule finds is lost; the host decides about those just below it."""
+    docs = [(n * 100 + k, " ".join(["a b c d"] * 2 + [f"x{i}" for i in range(n - 8)]) if k else " ".join(f"y{i}" for i in range(n)), f"s{k % 3}", None, None) for n in range(8, 40) for k in range(4)]
+    got = R.judged(spark.createDataFrame(docs, DOCS)).collect()
+    assert all(r.suspect for r in got if r.fails_runs) and any(r.fails_runs for r in got) and not all(r.suspect for r in got)
+
+
 def test_tokens(spark):
     from tokenizers import Tokenizer
 
