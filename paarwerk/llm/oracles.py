@@ -115,3 +115,59 @@ def _latin(t: str) -> str:
 
 
 ORACLES["p3_texts"] = f"WITH f AS (SELECT pair_id, {_form('src')} AS src, {_form('tgt')} AS tgt FROM all_corpora) SELECT pair_id, {_latin('src')} AS src, {_latin('tgt')} AS tgt FROM f"
+
+
+def _words(t: str) -> str:
+    """The words of a text that isn't null, as a list. A soft hyphen at a line's end is a hyphen."""
+    form = _latin(_form(rf"regexp_replace({t}, '\x{{AD}}[ \t\r]*\n', '-' || chr(10), 'g')"))
+    joined = rf"regexp_replace({form}, '([\p{{L}}\p{{N}}])[-‐‑][ \t\r]*\n\s*([\p{{L}}\p{{N}}])', '\1\2', 'g')"
+    return rf"regexp_extract_all(replace(lower({joined}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')"
+
+
+# All pairs whose texts share enough words, then the longest common subsequence row by row.
+_NEAR = f"""
+texts AS MATERIALIZED (SELECT pair_id, lower(trim(data_split)) AS part, {_words('src')} AS s, {_words('tgt')} AS t FROM all_corpora WHERE lower(trim(data_split)) IN ('train', 'dev', 'test') AND src <> '' AND tgt <> ''),
+lines AS (SELECT * FROM texts WHERE len(s) > 0 AND len(t) > 0),
+singles AS (SELECT pair_id, part, len(t) AS n, unnest(t) AS w FROM lines),
+copies AS (SELECT pair_id, part, n, w, row_number() OVER (PARTITION BY pair_id, w) AS k FROM singles),
+sharing AS (SELECT a.pair_id AS x, b.pair_id AS y FROM copies a JOIN copies b ON a.w = b.w AND a.k = b.k WHERE a.part = 'train' AND b.part <> 'train' GROUP BY ALL HAVING 5 * count(*) >= 4 * greatest(any_value(a.n), any_value(b.n))),
+sided AS (SELECT x, y, l.s AS a, r.s AS b FROM sharing JOIN lines l ON l.pair_id = x JOIN lines r ON r.pair_id = y UNION ALL SELECT x, y, l.t, r.t FROM sharing JOIN lines l ON l.pair_id = x JOIN lines r ON r.pair_id = y),
+lcs(x, y, a, b, i, r) AS (
+  SELECT x, y, a, b, 0, list_transform(range(len(b) + 1), lambda z: 0::BIGINT) FROM sided
+  UNION ALL SELECT x, y, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: greatest(r[j + 1], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: b[k] = a[i + 1]), lambda k: r[k] + 1)), 0))) FROM lcs WHERE i < len(a)),
+near AS (SELECT x, y FROM lcs WHERE i = len(a) GROUP BY x, y HAVING bool_and(5 * r[len(b) + 1] >= 4 * greatest(len(a), len(b))))"""
+ORACLES["p4_found"] = f"WITH RECURSIVE {_NEAR} SELECT least(x, y) AS pair_id_a, greatest(x, y) AS pair_id_b FROM near"
+ORACLES["p4_report"] = f"""WITH RECURSIVE {_NEAR},
+sized AS (SELECT pair_id, t, len(t) AS n, len(t) // 5 + (len(t) - len(t) // 5) // 4 + 1 AS parts FROM lines),
+cut AS (SELECT pair_id, n, t, n * i // parts AS f, n * (i + 1) // parts AS u FROM (SELECT *, unnest(range(parts)) AS i FROM sized)),
+held AS (SELECT DISTINCT y, f, u, n FROM near JOIN cut c ON c.pair_id = y JOIN lines l ON l.pair_id = x WHERE contains(' ' || array_to_string(l.t, ' ') || ' ', ' ' || array_to_string(c.t[f + 1:u], ' ') || ' ')),
+covered AS (SELECT y, sum(u - f) / any_value(n) AS c FROM held GROUP BY y),
+met AS (SELECT y, count(*) AS k FROM near GROUP BY y)
+SELECT lower(trim(a.data_split)) AS data_split, {_corpus('a.corpus')} AS corpus, sum(k)::BIGINT AS row_pairs, count(*) AS held_rows, round(avg(c), 4) AS coverage
+FROM met JOIN covered USING (y) JOIN all_corpora a ON a.pair_id = y GROUP BY ALL"""
+
+_GRAMS = lambda of, key, n: f"SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {of})"
+ORACLES["p8_found"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL), e AS MATERIALIZED (SELECT item_id, {_words('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS ({_GRAMS('d', 'doc_id', 10)}), eg AS ({_GRAMS('e', 'item_id', 10)}) SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)"""
+
+_MEASURED = rf"""
+d AS MATERIALIZED (SELECT doc_id, source, text, CASE WHEN text IS NULL THEN [] ELSE {_words("coalesce(text, '')")} END AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY i) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS repeated FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3]) AS p FROM again) GROUP BY doc_id),
+said AS (SELECT doc_id, n, {_strip(rf"regexp_replace(replace(lower(x), 'ß', 'ss'), '{_S}+', ' ', 'g')")} AS p
+  FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?。！？।\n]+') AS l FROM d))),
+pieces AS (SELECT doc_id, length(p) AS n, row_number() OVER (PARTITION BY doc_id, p ORDER BY n) AS k FROM said WHERE p <> ''),
+shares AS (SELECT doc_id, coalesce(sum(n) FILTER (k > 1), 0) / sum(n) AS piece_share FROM pieces GROUP BY doc_id),
+m AS (SELECT d.doc_id, source, len(w)::INTEGER AS n_words, coalesce(repeated, 0)::INTEGER AS repeated_words, coalesce(piece_share, 0.0) AS piece_share,
+  CASE WHEN len(w) > 0 THEN coalesce(repeated, 0) / len(w) ELSE 0.0 END AS share FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN shares USING (doc_id)),
+rules AS (SELECT *, n_words >= 8 AND share >= 0.3 AS fails_runs, n_words >= 8 AND piece_share >= 0.3 AS fails_pieces FROM m),
+counts AS (SELECT source, count(*) AS docs, count(*) FILTER (fails_runs OR fails_pieces) AS failed FROM rules GROUP BY source),
+moments AS (SELECT sum(failed) / sum(docs) AS mu, var_pop(failed / docs) AS v FROM counts),
+prior AS (SELECT mu, greatest(2.0, CASE WHEN v > 0 AND mu * (1 - mu) > v THEN mu * (1 - mu) / v - 1 ELSE 2.0 END) AS k FROM moments),
+hosts AS (SELECT source, docs, failed, round((failed + mu * k) / (docs + k), 9) AS rate FROM counts, prior)"""
+ORACLES["p9_found"] = f"WITH {_MEASURED} SELECT doc_id FROM rules WHERE fails_runs"
+ORACLES["p9_hosts"] = f"WITH {_MEASURED} SELECT *, rate >= 0.2 AS host_high FROM hosts"
+ORACLES["p9_documents"] = f"""WITH {_MEASURED}
+SELECT r.*, rate, rate >= 0.2 AS host_high, n_words >= 8 AND (repeated_words + rate) / (n_words + 1) >= 0.3 * 8 / 9 AS suspect FROM rules r JOIN hosts h ON r.source IS NOT DISTINCT FROM h.source"""
