@@ -41,15 +41,27 @@ JOINERS = {"\u200c", "\u200d"}
 #: Tags of the compatibility mappings that are only another look of the same letters.
 PRESENTATION = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>"}
 # Scripts whose letters never are a part of a Latin word.
-APART = ["Han", "Hiragana", "Katakana", "Hangul", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"]
+APART = ["Han", "Hiragana", "Katakana", "Hangul", "Bopomofo", "Yi", "Tangut", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"]
 _NEUTRAL = ["Latin", "Common", "Inherited", *APART]
 _OTHER = regex.compile(rf"[\p{{L}}--[{''.join(rf'\p{{{x}}}' for x in _NEUTRAL)}]]", regex.V1)
 _WORD_OF = regex.compile(rf"[[\p{{L}}\p{{M}}]--[{''.join(rf'\p{{{x}}}' for x in APART)}]]+", regex.V1)
 _LATIN = regex.compile(r"[\p{L}&&\p{Latin}]", regex.V1)
 
 
-def _code_points() -> list[str]:
-    return [chr(cp) for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000]
+@lru_cache(1)
+def _code_points() -> str:
+    """All characters that a form or a script could be asked of: of planes 2 and up only the compatibility ideographs; ideographs and Hangul have one form.
+
+    Every Python worker looks at these once, so the many that can't matter are left out.
+    """
+    ranges = ((0, 0x3400), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xE000, 0x17000), (0x18B00, 0x20000), (0x2F800, 0x2FA20))
+    return "".join(chr(cp) for a, b in ranges for cp in range(a, b))
+
+
+@lru_cache(1)
+def _others() -> frozenset[str]:
+    """Letters of other scripts."""
+    return frozenset(_OTHER.findall(_code_points()))
 
 
 @lru_cache(1)
@@ -70,7 +82,7 @@ def plain() -> dict[str, str]:
 @lru_cache(1)
 def decomposition() -> dict[str, str]:
     """Character -> what stands for it before marks are ordered: `plain`, and the full canonical decomposition. Hangul syllables stay: nothing but parts can follow them."""
-    return {c: U.normalize("NFD", c) for c in _code_points() if not 0xAC00 <= ord(c) < 0xD7A4 and U.normalize("NFD", c) != c} | plain()
+    return {c: U.normalize("NFD", c) for c in _code_points() if not U.is_normalized("NFD", c)} | plain()
 
 
 @lru_cache(1)
@@ -111,7 +123,7 @@ def latin_letters() -> dict[str, str]:
     for c in _code_points():
         if c in LOOK_ALIKE or c in RESEMBLING:
             out[c] = LOOK_ALIKE.get(c) or RESEMBLING[c]
-        elif _OTHER.match(c):
+        elif c in _others():
             name = re.sub("[^A-Z]", "", re.split("LETTER |SYLLABLE ", U.name(c, ""), maxsplit=1)[-1]).lower()
             if name:
                 out[c] = name.title() if c.isupper() else name
@@ -132,7 +144,7 @@ def _ranges(cps: list[int]) -> list[tuple[int, int]]:
 def triggers() -> list[tuple[int, int]]:
     """Ranges of characters without one of which a text has this form already."""
     kept = set(composition().values())
-    return _ranges(list({ord(c) for c in _code_points() if c in decomposition() and c not in kept or U.combining(c) or _OTHER.match(c)} | {ord(p[1]) for p in composition()}))
+    return _ranges(list({ord(c) for c in _code_points() if c in decomposition() and c not in kept or U.combining(c)} | {ord(c) for c in _others()} | {ord(p[1]) for p in composition()}))
 
 
 def _classes(ranges: list[tuple[int, int]]) -> str:
@@ -148,6 +160,15 @@ def trigger_java() -> str:
 
 TRIGGER = re.compile("[" + "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in triggers()) + "]")
 
+# The same, in two steps: a class that is soon asked, and the few characters that it finds.
+_BEYOND_LATIN_1 = re.compile("[" + "".join(f"\\x{c:02x}" for a, b in triggers() for c in range(a, min(b, 255) + 1)) + "\u0100-\U0010ffff]")
+_TRIGGERS = frozenset(chr(c) for a, b in triggers() for c in range(a, b + 1))
+
+
+def _asked(text: str) -> bool:
+    return not text.isascii() and not _TRIGGERS.isdisjoint(_BEYOND_LATIN_1.findall(text))
+
+
 # Scripts whose spelling needs joiners, and characters that emoji are built of.
 _NEEDS_JOINER = r"[\x{600}-\x{8FF}\x{900}-\x{DFF}\x{1000}-\x{109F}\x{1780}-\x{18AF}\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]"
 _NEEDED = re.compile("(?<=[\u0600-\u08ff\u0900-\u0dff\u1000-\u109f\u1780-\u18af\U0001f000-\U0001faff\u2600-\u27bf\ufe0f])([\u200c\u200d])(?=[\u0600-\u08ff\u0900-\u0dff\u1000-\u109f\u1780-\u18af\U0001f000-\U0001faff\u2600-\u27bf\ufe0f])")
@@ -161,20 +182,20 @@ def _translation() -> dict[int, str]:
 def _latin_word(m: regex.Match) -> str:
     """A word with its letters of other scripts in Latin, if it is Latin otherwise."""
     w = U.normalize("NFD", m[0])
-    others = _OTHER.findall(w)
+    table = latin_letters()
+    others = [c for c in w if c in table]
     if not others:
         return m[0]
     n = len(_LATIN.findall(w))
     if n < len(others) and not (n and all(c in LOOK_ALIKE for c in others)):
         return m[0]
-    table = latin_letters()
     # A name is several letters: a mark behind it belongs to its last one.
     return U.normalize("NFC", "".join(table.get(c, c) for c in w))
 
 
 def consistent(text: str | None) -> str | None:
     """The consistent form of one string."""
-    if text is None or text.isascii() or not TRIGGER.search(text):
+    if text is None or not _asked(text):
         return text
     out = "".join(x if x in JOINERS else U.normalize("NFC", x.translate(_translation())) for x in _NEEDED.split(text))
     return _WORD_OF.sub(_latin_word, out) if _OTHER.search(out) else out

@@ -84,5 +84,11 @@ def test_form_is_of_unicode_where_nothing_else_is_asked(text):
         assert T.consistent(text) == U.normalize("NFC", text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=20))
+def test_both_ways_to_ask_for_triggers(text):
+    assert T._asked(text) == bool(T.TRIGGER.search(text))
+
+
 def test_words_after_the_form():
     assert T.words("Größen-\nlehre und Wald－\xa0\nweg ạ-\nx") == ["grössenlehre", "und", "waldweg", "ạx"]
