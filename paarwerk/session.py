@@ -107,11 +107,8 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(right, on, how)
 
 
-def join_hot(rows: DataFrame, held: DataFrame, on: list[str], weight: str, salt: str, how: str = "inner", pieces: int = 200) -> DataFrame:
-    """Join rows to a table with one row per key, of which one may belong to a third of all rows. A small table is broadcast
-    by Catalyst; beyond that, keys with more than 1 / `pieces` of all rows (by `weight`, the rows of each key) are salted by the column `salt` of rows."""
-    if is_small(held):
-        return rows.join(held, on, how)
+def join_salted(rows: DataFrame, held: DataFrame, on: list[str], weight: str, salt: str, how: str = "inner", pieces: int = 200) -> DataFrame:
+    """Join rows to a table with one row per key. Keys with more than 1 / `pieces` of all rows (by `weight`, the rows of each key) are salted by the column `salt` of rows."""
     total = held.agg(F.sum(weight)).first()[0]
     salts = F.greatest(F.lit(1), F.ceil(F.col(weight) * pieces / F.lit(max(total or 0, 1))).cast("int"))
     large = F.broadcast(held.withColumn("_salts", salts).where("_salts > 1").select(*on, "_salts"))  # fewer than `pieces` keys can be so large
@@ -120,6 +117,11 @@ def join_hot(rows: DataFrame, held: DataFrame, on: list[str], weight: str, salt:
     return cut.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def join_hot(rows: DataFrame, held: DataFrame, on: list[str], weight: str, salt: str, how: str = "inner") -> DataFrame:
+    """Join rows to a table with one row per key, of which one may belong to a third of all rows: a small table is broadcast by Catalyst, beyond that large keys are salted."""
+    return rows.join(held, on, how) if is_small(held) else join_salted(rows, held, on, weight, salt, how)
+
+
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """df with `columns` set, each computed once a row: filters above are not merged with costly expressions, as they would be through a projection."""
     kept = [c for c in df.columns if c not in columns]
