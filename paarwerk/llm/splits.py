@@ -1,9 +1,11 @@
 """Splits that keep related records together (problem 1): an incremental, persisted component table.
 
-Nodes are writers, links say that two writers are one. Links are contracted round by round: every component points to
-the least component beside it, and the pointers are jumped (each replaced by its pointer's pointer) until they rest.
-The table (node, component, split) is written to a folder; a later batch starts from it. Components that exist keep
-their split, new ones fill the deficits of the splits, and a merge of components with different splits is quarantined.
+Nodes are writers, links say that two writers are one. A folder holds the state: the texts with their writers, and the component
+table (node, component, split, had). A batch brings new rows, metadata and links and reads nothing else but that state: its
+links are taken to the components of their ends and contracted round by round (every component points to the least one
+beside it, and the pointers are jumped, each replaced by its pointer's pointer, until they rest), and the components that
+were merged are renamed in the table. Components that exist keep their split, new ones fill the deficits of the splits,
+and a merge of components with different splits is quarantined, with all splits that its parts ever had.
 
 Rows whose corpus or file is null belong to no text; each is a group of its own and gets its split by a hash of its id.
 Empty tables give empty results. Repeated or reversed links, links of a writer to itself and of null codes add nothing.
@@ -14,14 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from paarwerk.functions.tables import corpus_key, file_key, with_registry
-from paarwerk.session import is_small, join_sized, materialise, strip
+from paarwerk.session import is_small, join_salted, materialise, new_path, strip
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 #: A component with more than this share of the rows is placed one by one; there are at most 1 / GIANT of them.
 GIANT = 0.002
-#: Buckets of the distributed running sum that places all others.
-BUCKETS = 512
+#: Components in a bucket of the distributed running sum that places all others.
+BUCKET = 10_000
 QUARANTINE = "quarantine"
+SAID = "struct<at: timestamp, id: bigint>"
 
 
 def _code(c: Column | str) -> Column:
@@ -47,14 +50,18 @@ def row_texts(pairs: DataFrame, corpora: DataFrame) -> DataFrame:
     return with_registry(pairs.select("pair_id", "corpus", F.col("xml_file")), corpora).select("pair_id", "corpus", file_key("xml_file").alias("file"))
 
 
-def text_writers(rows: DataFrame, meta: DataFrame, corpora: DataFrame) -> DataFrame:
-    """(corpus, file, node, first_id, n): one row per text with its writer. A given author id outranks the file name; of several the last delivered."""
-    texts = rows.where("corpus is not null and file is not null").groupBy("corpus", "file").agg(F.min("pair_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+def text_table(rows: DataFrame, meta: DataFrame, corpora: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(corpus, file, author, said, node, first_id, n): one row per text with its writer, those of `before` included. A given author id outranks
+    the file name; of several the last delivered counts. A text of which only metadata came has n 0."""
+    texts = rows.where("corpus is not null and file is not null").select("corpus", "file", "pair_id", F.lit(1).alias("n"), F.lit(None).cast("string").alias("author"), F.lit(None).cast(SAID).alias("said"))
     given = with_registry(meta.select("corpus", "xml_file", "author_id", "delivered_at", "meta_id"), corpora)
-    given = given.select("corpus", file_key("xml_file").alias("file"), _code("author_id").alias("author"), "delivered_at", "meta_id").where("author is not null and file is not null")
-    given = given.groupBy("corpus", "file").agg(F.max_by("author", F.struct("delivered_at", "meta_id")).alias("author"))
-    joined = texts.join(given, ["corpus", "file"], "left")
-    return joined.select("corpus", "file", node(F.col("corpus"), F.coalesce(F.col("author"), code_in_name("corpus", F.col("file")))).alias("node"), "first_id", "n")
+    given = given.select("corpus", file_key("xml_file").alias("file"), F.lit(None).cast("long").alias("pair_id"), F.lit(0).alias("n"), _code("author_id").alias("author"), F.struct(F.col("delivered_at").alias("at"), F.col("meta_id").alias("id")).alias("said"))
+    all_ = texts.unionByName(given.where("author is not null and corpus is not null and file is not null"))
+    if before is not None:
+        all_ = all_.unionByName(before.select("corpus", "file", F.col("first_id").alias("pair_id"), "n", "author", "said"))
+    # max_by leaves out rows without a `said`; of those with one, an undated delivery is the earliest.
+    merged = all_.groupBy("corpus", "file").agg(F.max_by("author", "said").alias("author"), F.max("said").alias("said"), F.min("pair_id").alias("first_id"), F.sum("n").alias("n"))
+    return merged.withColumn("node", node(F.col("corpus"), F.coalesce(F.col("author"), code_in_name("corpus", F.col("file")))))
 
 
 def writer_links(alias: DataFrame, corpora: DataFrame) -> DataFrame:
@@ -67,59 +74,64 @@ def writer_links(alias: DataFrame, corpora: DataFrame) -> DataFrame:
 
 def contracted(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node that a link or `start` names. `start` (node, component) are the components so far."""
-    links = links.checkpoint()  # read once a round
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if start is None:
-        held = ends.select("node", F.col("node").alias("component"))
+        held, edges = nodes.withColumn("component", F.col("node")), links.select(F.col("a").alias("x"), F.col("b").alias("y"))
     else:
-        held = ends.join(start, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
-    held = held.checkpoint()
+        held = nodes.join(start, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
+        of = lambda end, name: start.select(F.col("node").alias(end), F.col("component").alias(name))
+        edges = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    rounds = []
     while True:
-        at = held.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        to = held.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        between = links.join(at, "a").join(to, "b").where("ca <> cb").select("ca", "cb").distinct()
-        both = between.unionByName(between.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
-        points = both.groupBy("ca").agg(F.least("ca", F.min("cb")).alias("p")).checkpoint()
-        if points.isEmpty():
-            return held
-        while True:  # pointer jumping
-            via = points.select(F.col("ca").alias("p"), F.col("p").alias("q"))
-            jumped = points.join(via, "p", "left").select("ca", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")).checkpoint()
-            rests = jumped.where("moved").isEmpty()
-            points = jumped.select("ca", "p")
-            if rests:
+        edges = materialise(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
+        if edges.isEmpty():
+            break
+        beside = edges.select(F.inline(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("d")), F.struct(F.col("y").alias("c"), F.col("x").alias("d")))))
+        points = materialise(beside.groupBy("c").agg(F.least("c", F.min("d")).alias("p")), "pointers")
+        while True:  # pointer jumping, two jumps at a time
+            via = lambda at, to: points.select(F.col("c").alias(at), F.col("p").alias(to))
+            twice = points.join(via("p", "q"), "p").join(via("q", "r"), "q").join(via("r", "s"), "r")
+            jumped = materialise(twice.select("c", F.col("s").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "pointers")
+            points = jumped.select("c", "p")
+            if jumped.where("moved").isEmpty():
                 break
-        held = held.join(points.withColumnRenamed("ca", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component")).checkpoint()
+        rounds.append(points)
+        to = lambda end: points.select(F.col("c").alias(end), F.col("p").alias(f"_{end}"))
+        edges = edges.join(to("x"), "x").join(to("y"), "y").select(F.col("_x").alias("x"), F.col("_y").alias("y"))
+    for points in rounds:
+        held = held.join(points.withColumnRenamed("c", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+    return held
 
 
-def component_of(nodes: DataFrame, components: DataFrame) -> DataFrame:
-    """nodes with their component; a node that no link names is its own."""
-    return join_sized(nodes, components.select("node", "component"), ["node"], "left").withColumn("component", F.coalesce("component", "node"))
+def advance(pairs: DataFrame, meta: DataFrame, alias: DataFrame, corpora: DataFrame, path: str, before: str | None = None, shares: dict[str, float] = SHARES) -> tuple[DataFrame, DataFrame]:
+    """One batch: the rows with their text, and (corpus, file, node, component, split, group_id, texts, n) of every text known by now that has rows.
 
-
-def groups(pairs: DataFrame, meta: DataFrame, alias: DataFrame, corpora: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows with their text, and (corpus, file, component, group_id, texts, n) of every text."""
+    The state goes to `path` (folders texts and components); `before` is the path of the state so far, if any, whose rows, metadata and links are not read again.
+    """
+    spark = pairs.sparkSession
     rows = row_texts(pairs, corpora)
-    texts = component_of(text_writers(rows, meta, corpora), contracted(writer_links(alias, corpora)))
-    by = texts.groupBy("component").agg(F.min("first_id").alias("group_id"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows"))
-    return rows, materialise(texts.join(by, "component").select("corpus", "file", "node", "component", "group_id", "texts", "n", "rows"), "texts")
+    old = spark.read.parquet(f"{before}/texts") if before else None
+    text_table(rows, meta, corpora, old).write.mode("overwrite").parquet(f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts").where("n > 0")
+    moved = None
+    if before:
+        was = old.where("n > 0").select("corpus", "file", F.col("node").alias("was")).join(spark.read.parquet(f"{before}/components").select(F.col("node").alias("was"), "split", "had"), "was")
+        moved = texts.select("corpus", "file", "node").join(was, ["corpus", "file"]).where("node <> was").select("node", "split", "had")
+    table = update(texts.select("node", "n"), writer_links(alias, corpora), f"{path}/components", f"{before}/components" if before else None, shares, moved)
+    placed = texts.join(table.select("node", "component", "split"), "node")
+    by = placed.groupBy("component").agg(F.min("first_id").alias("group_id"), F.count(F.lit(1)).alias("texts"))
+    return rows, materialise(placed.join(by, "component").select("corpus", "file", "node", "component", "split", "group_id", "texts", "n"), "texts")
 
 
 def with_text(rows: DataFrame, texts: DataFrame, how: str = "inner") -> DataFrame:
-    """Join rows to their text. A text may hold a third of the rows: beyond the broadcast bound, large texts are salted."""
-    if is_small(texts):
-        return rows.join(F.broadcast(texts), ["corpus", "file"], how)
-    total = texts.agg(F.sum("n")).first()[0]
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") * 200 / F.lit(max(total, 1))).cast("int"))
-    large = F.broadcast(texts.withColumn("salts", salts).where("salts > 1").select("corpus", "file", "salts"))  # fewer than 200 texts can be so large
-    cut = rows.join(large, ["corpus", "file"], "left").withColumn("salt", F.pmod(F.xxhash64("pair_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    copies = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return cut.join(copies, ["corpus", "file", "salt"], how).drop("salt")
-
-
-def found(pairs: DataFrame, meta: DataFrame, alias: DataFrame, corpora: DataFrame) -> DataFrame:
-    """(pair_id, group_id) of the rows in groups of two texts or more."""
-    rows, texts = groups(pairs, meta, alias, corpora)
+    """Join rows to their text. A text may hold a third of the rows: where the texts aren't broadcast, large ones are salted."""
+    on = ["corpus", "file"]
+    return rows.join(texts, on, how) if is_small(texts) else join_salted(rows, texts, on, "n", "pair_id", how)
+
+
+def found(pairs: DataFrame, meta: DataFrame, alias: DataFrame, corpora: DataFrame, path: str | None = None, before: str | None = None) -> DataFrame:
+    """(pair_id, group_id) of the rows in groups of two texts or more, by the component table that this batch writes to `path`."""
+    rows, texts = advance(pairs, meta, alias, corpora, path or new_path(pairs.sparkSession, "components"), before)
     return with_text(rows, texts.where("texts > 1").select("corpus", "file", "group_id", "n")).select("pair_id", "group_id")
 
 
@@ -139,15 +151,13 @@ def assign(sizes: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
         best = max(room, key=lambda s: room[s])
         room[best] -= r.n
         big.append((r.component, best))
-    rest = new.where(F.col("n") <= GIANT * all_rows).withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(BUCKETS)).cast("int"))
-    sums, before = {r._b: r.n for r in rest.groupBy("_b").agg(F.sum("n").alias("n")).collect()}, {}
-    at = 0
-    for b in range(BUCKETS):
-        before[b] = at
-        at += sums.get(b, 0)
+    rest = new.where(F.col("n") <= GIANT * all_rows)
+    count, at = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rest = rest.withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(-(-count // BUCKET) or 1)))
+    sums = rest.groupBy("_b").agg(F.sum("n").alias("_s"))  # a row for each BUCKET components
+    starts = sums.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_before"))
     open_ = {s: max(x, 0.0) for s, x in room.items()}
     scale = at / (sum(open_.values()) or 1.0)
-    starts = F.broadcast(spark.createDataFrame(list(before.items()), "_b int, _before long"))
     middle = F.sum("n").over(W.partitionBy("_b").orderBy(F.xxhash64("component", F.lit(1)), "component").rowsBetween(W.unboundedPreceding, 0)) - F.col("n") / 2 + F.col("_before")
     split, edge = F.lit(next(iter(shares))), 0.0
     for s in shares:
@@ -159,54 +169,58 @@ def assign(sizes: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
 
 
 def update(texts: DataFrame, links: DataFrame, path: str, before: str | None = None, shares: dict[str, float] = SHARES, moved: DataFrame | None = None) -> DataFrame:
-    """Bring the component table up to date and write it to `path`: (node, component, n, split, merged).
+    """Bring the component table up to date and write it to `path`: (node, component, n, split, had, merged).
 
-    texts: (node, n), all texts known by now. before: path of the table so far, if any. moved: (node, split) of texts that have
-    another writer than before, the writer they have now and the split they had. `merged` counts the splits that a
-    quarantined component, or a text that came to it, had before.
+    texts: (node, n), all texts known by now. links: those that `before`, the path of the table so far, doesn't know yet.
+    moved: (node, split, had) of texts that have another writer than before, the writer they have now and the split they had.
+    `had`: the splits that the component's parts, or texts that came to it, ever had; `merged`, for a quarantined one, their number.
     """
     spark = texts.sparkSession
     nodes = texts.groupBy("node").agg(F.sum("n").alias("n"))
     old = spark.read.parquet(before) if before else None
     held = contracted(links, old.select("node", "component") if old is not None else None)
     all_ = nodes.join(held, "node", "full").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(0)).alias("n"))
-    if old is None:
-        had = all_.groupBy("component").agg(F.sum("n").alias("n")).select("component", "n", F.lit(None).cast("string").alias("split"), F.lit(0).alias("merged"))
+    if old is not None:
+        # A node that no link of this batch names keeps its component's own history; every node brings its component's.
+        known = old.select("node", "split", "had") if moved is None else old.select("node", "split", "had").unionByName(moved.select("node", "split", "had"))
+        known = known.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.size("had") > 0, F.col("had")).otherwise(F.array("split"))))).alias("_s"))
+        all_ = all_.join(known, "node", "left")
     else:
-        known = old.select("node", "split") if moved is None else old.select("node", "split").unionByName(moved.select("node", "split"))
-        joined = all_.join(known.groupBy("node").agg(F.collect_set("split").alias("_s")), "node", "left")
-        had = joined.groupBy("component").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("_s"))).alias("_s"))
-        had = had.select("component", "n", F.when(F.size("_s") > 1, F.lit(QUARANTINE)).otherwise(F.get("_s", F.lit(0))).alias("split"), F.size("_s").alias("merged"))
-    had = had.checkpoint()
-    done = assign(had.select("component", "n", "split"), shares).join(had.select("component", "merged"), "component")
-    out = all_.join(done, "component").select("node", "component", "n", "split", F.when(F.col("split") == QUARANTINE, F.col("merged")).otherwise(F.lit(0)).alias("merged"))
+        all_ = all_.withColumn("_s", F.lit(None).cast("array<string>"))
+    all_ = materialise(all_, "nodes")
+    # Of a component's nodes there may be many, of its different histories only as many as there are sets of splits.
+    had = all_.groupBy("component").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_s")))).alias("had"))
+    split = F.when(F.size("had") > 1, F.lit(QUARANTINE)).otherwise(F.get("had", F.lit(0)))
+    had = materialise(had.select("component", "n", split.alias("split"), "had"), "components")
+    done = assign(had.select("component", "n", "split"), shares).join(had.select("component", "had"), "component")
+    # A new component's history begins with the split that it has got.
+    done = done.withColumn("had", F.when(F.size("had") > 0, F.col("had")).otherwise(F.array("split")))
+    out = all_.join(done, "component").select("node", "component", "n", "split", "had", F.when(F.col("split") == QUARANTINE, F.size("had")).otherwise(F.lit(0)).alias("merged"))
     out.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def splits(pairs: DataFrame, meta: DataFrame, alias: DataFrame, corpora: DataFrame, path: str, shares: dict[str, float] = SHARES) -> DataFrame:
-    """(pair_id, split, group_id) of every row, by one batch; the component table stays at `path`."""
-    rows, texts = groups(pairs, meta, alias, corpora)
-    table = update(texts.select("node", "n"), writer_links(alias, corpora), path, shares=shares)
-    known = materialise(texts.join(table.select("node", "split"), "node").select("corpus", "file", "split", "group_id", "n"), "text-splits")
+def splits(pairs: DataFrame, meta: DataFrame, alias: DataFrame, corpora: DataFrame, path: str, shares: dict[str, float] = SHARES, before: str | None = None) -> DataFrame:
+    """(pair_id, split, group_id) of every row of a batch; the state stays at `path`, and a later batch starts from it."""
+    rows, texts = advance(pairs, meta, alias, corpora, path, before, shares)
     alone = F.pmod(F.xxhash64("pair_id"), F.lit(1000)) / 1000
     by_hash, edge = F.lit(None), 1.0
     for s in reversed(list(shares)):
         by_hash = F.when(alone < edge, F.lit(s)).otherwise(by_hash)
         edge -= shares[s]
+    known = texts.select("corpus", "file", "split", "group_id", "n")
     return with_text(rows, known, "left").select("pair_id", F.coalesce("split", by_hash).alias("split"), F.coalesce("group_id", "pair_id").alias("group_id"))
 
 
 def two_batches(pairs: DataFrame, meta: DataFrame, alias: DataFrame, corpora: DataFrame, paths: tuple[str, str], until: str) -> DataFrame:
-    """The component table after a first batch (loaded, delivered and noted before `until`) and a second with all: (node, component, n, split, merged).
+    """The component table after a first batch (loaded, delivered and noted before `until`) and a second with what came later or has no date.
 
     A text whose author_id is delivered later changes its writer; its split stays if its new writer has no other one, else
     the new writer's component is in quarantine.
     """
     early = lambda df, c: df.where(F.col(c) < F.lit(until).cast("timestamp"))
-    first = materialise(text_writers(row_texts(early(pairs, "loaded_at"), corpora), early(meta, "delivered_at"), corpora), "first-texts")
-    table = update(first.select("node", "n"), writer_links(early(alias, "noted_at"), corpora), paths[0])
-    last = materialise(text_writers(row_texts(pairs, corpora), meta, corpora), "last-texts")
-    was = first.select("corpus", "file", F.col("node").alias("was")).join(table.select(F.col("node").alias("was"), "split"), "was")
-    moved = last.select("corpus", "file", "node").join(was, ["corpus", "file"]).where("node <> was").select("node", "split")
-    return update(last.select("node", "n"), writer_links(alias, corpora), paths[1], before=paths[0], moved=moved)
+    late = lambda df, c: df.where(~F.coalesce(F.col(c) < F.lit(until).cast("timestamp"), F.lit(False)))
+    dated = ((pairs, "loaded_at"), (meta, "delivered_at"), (alias, "noted_at"))
+    advance(*(early(*x) for x in dated), corpora, paths[0])
+    advance(*(late(*x) for x in dated), corpora, paths[1], paths[0])
+    return pairs.sparkSession.read.parquet(f"{paths[1]}/components")

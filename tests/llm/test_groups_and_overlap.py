@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paarwerk.llm import overlap as O, splits as S
 from paarwerk.llm.textform import words
@@ -98,6 +99,35 @@ def test_later_batch_keeps_splits_and_quarantines(spark):
     assert all(second[n].split == s for n, s in split.items() if n not in (a, b))
 
 
+def test_quarantine_keeps_its_history(spark):
+    """Three batches: what the second put in quarantine keeps the number of its splits in a third that has no link, and grows by one that has."""
+    nodes = spark.createDataFrame([(f"w{i}", 10) for i in range(60)], "node string, n long")
+    none = spark.createDataFrame([], "a string, b string")
+    paths = [new_path(spark, "c") for _ in range(4)]
+    split = {r.node: r.split for r in S.update(nodes, none, paths[0]).collect()}
+    a, b, c = (next(n for n, s in sorted(split.items()) if s == x) for x in S.SHARES)
+    link = lambda *x: spark.createDataFrame([tuple(sorted(x))], "a string, b string")
+    S.update(nodes, link(a, b), paths[1], before=paths[0])
+    third = {r.node: r for r in S.update(nodes, none, paths[2], before=paths[1]).collect()}
+    assert {third[x].split for x in (a, b)} == {S.QUARANTINE} and third[a].merged == third[b].merged == 2 and sorted(third[a].had) == sorted([split[a], split[b]])
+    fourth = {r.node: r for r in S.update(nodes, link(b, c), paths[3], before=paths[2]).collect()}
+    assert {fourth[x].merged for x in (a, b, c)} == {3} and all(fourth[n].split == s for n, s in split.items() if n not in (a, b, c))
+
+
+def test_batches_give_the_groups_of_one(spark):
+    """Rows, metadata and links in three batches, each read once: the texts' groups at the end are those of all at once."""
+    frames, *rows = world(spark, random.Random(9), 600)
+    part = lambda df, key, i: df.where(F.pmod(F.col(key), F.lit(3)) == i)
+    before = None
+    for i in range(3):
+        path = new_path(spark, "state")
+        batch, texts = S.advance(part(frames[0], "pair_id", i), part(frames[1], "meta_id", i), part(frames[2], "alias_id", i), frames[3], path, before)
+        before = path
+    all_rows = S.row_texts(frames[0], frames[3])
+    got = {tuple(r) for r in S.with_text(all_rows, texts.where("texts > 1").select("corpus", "file", "group_id", "n")).select("pair_id", "group_id").collect()}
+    assert got == plain_groups(*rows) and batch.count() == 200
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(200)], "a string, b string")
     assert {r.component for r in S.contracted(links).collect()} == {"n000"}
