@@ -39,6 +39,33 @@ def test_shards_of_items(spark):
     assert [len(s) for s in leaks.item_shards(items, 100)] == [3, 3, 3, 1]
 
 
+def test_many_items_meet_by_shuffle(spark, monkeypatch):
+    """Both ways find the same: the broadcast one, and the one for more items than are broadcast, in several shards and blocks."""
+    rng = random.Random(5)
+    items = [(i, random_text(rng, rng.choice([0, 9, 10, 11, 30]))) for i in range(60)] + [(91, "a a a a " * 9), (92, None), (93, items_text := random_text(rng, 25)), (94, items_text)]
+    docs = [(i, random_text(rng, 15) + " " + (rng.choice(items)[1] or "") + " " + random_text(rng, 15), None, None, None) for i in range(80)]
+    docs += [(200, None, None, None, None), (201, "", None, None, None), (202, "a " * 500, None, None, None)]
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    few = sorted(tuple(r) for r in leaks.leaked_items(*frames).collect()), sorted(tuple(r) for r in leaks.without_leaks(*frames).collect())
+    monkeypatch.setattr(leaks, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(leaks, "SHARD_WORDS", 200)
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 100)
+    many = sorted(tuple(r) for r in leaks.leaked_items(*frames).collect()), sorted(tuple(r) for r in leaks.without_leaks(*frames).collect())
+    assert few == many and few[0] and few[1]
+
+
+def test_every_window_goes_where_its_equal_goes():
+    rng = random.Random(6)
+    for _ in range(300):
+        seq = [rng.choice("abcde") for _ in range(rng.randint(0, 40))]
+        cut = leaks.stretches(seq, 10)
+        own = {}
+        for h, x, y in cut:
+            for i in range(x, y - 9):
+                assert own.setdefault(tuple(seq[i : i + 10]), h) == h
+        assert {i for _, x, y in cut for i in range(x, y - 9)} == set(range(max(0, len(seq) - 9)))
+
+
 def test_repetition_against_definition():
     rng = random.Random(2)
     for _ in range(300):
