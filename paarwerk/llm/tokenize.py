@@ -1,8 +1,10 @@
 """Token ids of a public byte-level BPE vocabulary (problem 7), by recursive DuckDB queries inside each partition.
 
 Each Arrow batch is cut into the tokenizer's own words; words that the partition hasn't met go, as (word, position, id)
-rows of their bytes, to a recursive query that joins adjacent rows with the merge table and contracts the leftmost pair
-of least rank of each word until none is left; an ordered aggregation gives the ids. Nothing is shuffled.
+rows of their bytes, to a recursive query that joins adjacent rows with the merge table and contracts each word's pair of
+least rank, leftmost first, until none is left; an ordered aggregation gives the ids. Nothing is shuffled. All places of one
+pair are contracted in one step, from the left: a contraction makes no pair of a lower rank, so that is what contracting the
+leftmost one again and again comes to.
 
 Empty and null texts give the empty list. Strings that look like special tokens are plain text.
 """
@@ -22,41 +24,25 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words that a partition keeps; beyond it the memory starts anew, which costs time only.
 KEPT_WORDS = 400_000
 
-#: Words that go through one recursive query.
-STEP_WORDS = 20_000
-#: Longer words are cut into pieces, and longer pieces contract all places of their best pair at once; the result is the same.
-LONG_BYTES = 64
+#: Bytes that go through one recursive query, words of like length together, so that short ones don't wait for a long one's steps.
+STEP_BYTES = 200_000
 
-_DONE = """
-SELECT parts.word, list(parts.id ORDER BY parts.pos) AS ids FROM parts JOIN (SELECT word, max(step) AS step FROM parts GROUP BY word) USING (word, step) GROUP BY parts.word
-"""
-_PAIRS = """
-    SELECT p.word, p.pos, p.id, p.step, p.next_pos, m.made, m.rank::BIGINT * 1048576 + p.pos AS place, m.rank
-    FROM (SELECT word, pos, id, step, lead(id) OVER w AS right_id, lead(pos) OVER w AS next_pos FROM parts WINDOW w AS (PARTITION BY word ORDER BY pos)) p
-    LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.right_id
-"""
-LEFTMOST = f"""
-WITH RECURSIVE parts(word, pos, id, step) AS (
-    SELECT word, pos, id, 0 FROM pieces
-  UNION ALL (
-    WITH pairs AS MATERIALIZED ({_PAIRS}),
-    best AS (SELECT word, arg_min(struct_pack(pos := pos, next_pos := next_pos, made := made), place) AS b FROM pairs WHERE place IS NOT NULL GROUP BY word)
-    SELECT p.word, p.pos, CASE WHEN p.pos = b.pos THEN b.made ELSE p.id END, p.step + 1 FROM pairs p JOIN best USING (word) WHERE p.pos <> b.next_pos)
-)
-{_DONE}"""
-#: For long pieces: every place of the best pair at once (of places side by side, as in `aaa`, every second), and one table
-#: that is updated, -1 for what was contracted away.
-ALL_PLACES = """
-WITH RECURSIVE parts(pos, id) USING KEY (pos) AS (
-    SELECT pos, id FROM pieces
+#: One table that is updated, -1 for what was contracted away; only words that the last step changed are looked at again.
+#: Of places of the best pair that stand side by side, as in `aaa`, every second one is taken, from the left.
+CONTRACT = """
+WITH RECURSIVE parts(word, pos, id) USING KEY (word, pos) AS (
+    SELECT word, pos, id FROM pieces
   UNION (
-    WITH held AS (SELECT pos, id, lead(id) OVER (ORDER BY pos) AS right_id, lead(pos) OVER (ORDER BY pos) AS next_pos, row_number() OVER (ORDER BY pos) AS n FROM recurring.parts WHERE id >= 0),
-    pairs AS (SELECT held.*, m.made, m.rank FROM held JOIN merges m ON m.left_id = held.id AND m.right_id = held.right_id),
-    best AS (SELECT *, n - row_number() OVER (ORDER BY n) AS island FROM pairs WHERE rank = (SELECT min(rank) FROM pairs)),
-    taken AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY island ORDER BY n) % 2 = 1)
-    SELECT pos, made FROM taken UNION ALL SELECT next_pos, -1 FROM taken)
+    WITH live AS (SELECT DISTINCT word FROM parts),
+    held AS (SELECT r.word, r.pos, r.id, lead(r.id) OVER w AS right_id, lead(r.pos) OVER w AS next_pos, row_number() OVER w AS n
+      FROM recurring.parts r SEMI JOIN live USING (word) WHERE r.id >= 0 WINDOW w AS (PARTITION BY r.word ORDER BY r.pos)),
+    pairs AS (SELECT held.word, held.pos, held.next_pos, held.n, m.made, m.rank FROM held JOIN merges m ON m.left_id = held.id AND m.right_id = held.right_id),
+    best AS (SELECT * FROM pairs QUALIFY rank = min(rank) OVER (PARTITION BY word)),
+    islands AS (SELECT *, n - row_number() OVER (PARTITION BY word ORDER BY n) AS island FROM best),
+    taken AS (SELECT * FROM islands QUALIFY row_number() OVER (PARTITION BY word, island ORDER BY n) % 2 = 1)
+    SELECT word, pos, made FROM taken UNION ALL SELECT word, next_pos, -1 FROM taken)
 )
-SELECT 0 AS word, list(id ORDER BY pos) AS ids FROM parts WHERE id >= 0
+SELECT word, list(id ORDER BY pos) AS ids FROM parts WHERE id >= 0 GROUP BY word
 """
 
 
@@ -114,30 +100,29 @@ class PartitionEncoder:
         self.known: dict[str, list[int]] = {}
 
     def learn(self, new: list[str]) -> None:
-        """Contract words that are new here. Long ones are cut first where no token of the vocabulary can lie across."""
-        coded = {w: w.encode() for w in new}
-        cut = {w: self._pieces(b) for w, b in coded.items() if len(b) > LONG_BYTES}
-        pieces = list({b for w, b in coded.items() if w not in cut} | {p for ps in cut.values() for p in ps})
-        short, long, ids = [b for b in pieces if len(b) <= LONG_BYTES], [b for b in pieces if len(b) > LONG_BYTES], {}
-        for i in range(0, len(short), STEP_WORDS):
-            self._contract(short[i : i + STEP_WORDS], LEFTMOST, ids)
-        for b in long:
-            self._contract([b], ALL_PLACES, ids)
-        for w, b in coded.items():
-            self.known[w] = list(chain.from_iterable([ids[p] for p in cut[w]])) if w in cut else ids[b]
+        """Contract words that are new here, cut first where no token of the vocabulary can lie across."""
+        cut = {w: self._pieces(w.encode()) for w in new}
+        pieces, ids, at, size = sorted({p for ps in cut.values() for p in ps}, key=lambda b: (len(b), b)), {}, 0, 0
+        for i, p in enumerate(pieces):
+            size += len(p)
+            if size >= STEP_BYTES or i + 1 == len(pieces):
+                self._contract(pieces[at : i + 1], ids)
+                at, size = i + 1, 0
+        for w, ps in cut.items():
+            self.known[w] = ids[ps[0]] if len(ps) == 1 else list(chain.from_iterable([ids[p] for p in ps]))
 
     def _pieces(self, b: bytes) -> list[bytes]:
         x = np.frombuffer(b, np.uint8)
         at = np.flatnonzero(~self.together[x[:-1], x[1:]]) + 1
         return [b[i:j] for i, j in zip([0, *at.tolist()], [*at.tolist(), len(b)])]
 
-    def _contract(self, pieces: list[bytes], query: str, out: dict[bytes, list[int]]) -> None:
+    def _contract(self, pieces: list[bytes], out: dict[bytes, list[int]]) -> None:
         sizes = np.array([len(b) for b in pieces])
         word = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         pos = np.arange(len(word), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         self.db.register("pieces", pa.table({"word": word, "pos": pos, "id": ids}))
-        for i, x in self.db.execute(query).fetchall():
+        for i, x in self.db.execute(CONTRACT).fetchall():
             out[pieces[i]] = x
         self.db.unregister("pieces")
 
