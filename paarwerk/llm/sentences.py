@@ -23,7 +23,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paarwerk.session import join_sized, materialise
+from paarwerk.session import materialise
 
 ROUNDS = 3
 #: Words whose counts a task holds before it hands them on; Spark adds up what several tasks or batches say of a word.
@@ -404,7 +404,7 @@ def with_met(texts: DataFrame, words: DataFrame | None, columns: list[str]) -> D
     if words is None:
         return texts.select(*columns, F.lit(None).cast("array<struct<key: string, yes: double, no: double>>").alias("met"))
     spark = texts.sparkSession
-    met = join_sized(texts.select("text_no", F.explode("words").alias("key")), words, ["key"]).groupBy("text_no").agg(F.collect_list(F.struct("key", "yes", "no")).alias("met"))
+    met = texts.select("text_no", F.explode("words").alias("key")).join(words, "key").groupBy("text_no").agg(F.collect_list(F.struct("key", "yes", "no")).alias("met"))
     # A number of its own keeps the texts, few bytes but much work, from being put together in few tasks.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return texts.select("text_no", *columns).repartition(parts, "text_no").join(met, "text_no", "left").select(*columns, "met")
