@@ -103,10 +103,6 @@ def is_small(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= bound
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    return left.join(right, on, how)
-
-
 def join_salted(rows: DataFrame, held: DataFrame, on: list[str], weight: str, salt: str, how: str = "inner", pieces: int = 200) -> DataFrame:
     """Join rows to a table with one row per key. Keys with more than 1 / `pieces` of all rows (by `weight`, the rows of each key) are salted by the column `salt` of rows."""
     total = held.agg(F.sum(weight)).first()[0]
