@@ -249,3 +249,34 @@ SELECT c.corpus, c.text_type, c.n, t.corpus_total FROM c JOIN t ON c.corpus = t.
     "golden_problems": _values([("not closed",)], "doc"),
     "csv_round_trip": "SELECT nullif(corpus, '') AS corpus, nullif(lang_prof, '') AS lang_prof, nullif(xml_file, '') AS xml_file, sent_num, nullif(src, '') AS src, nullif(tgt, '') AS tgt, corrected, nullif(text_type, '') AS text_type FROM all_corpora",
 }
+
+# Nested annotations, from the tags alone. The bytes come as text in which all but plain ASCII is spelled `\xHH`; for what is
+# asked here a letter stands for such bytes, a blank for white space, and nothing for bytes that are no UTF-8 and for the mark at the start.
+_ASCII = "content::VARCHAR"
+for _from, _to in (
+    (r"^(\\xEF\\xBB\\xBF)+", ""), (r"\\x22", '"'), (r"\\x27", "''"), (r"\\x(0[9AD]|C2\\x[8A][50])", " "),
+    (r"\\xC[2-9A-F]\\x[89AB].|\\xD.\\x[89AB].|\\xE.\\x[89AB].\\x[89AB].|\\xF[0-4]\\x[89AB].\\x[89AB].\\x[89AB].", "x"), (r"\\x[89A-F].", ""),
+    (r"(?s)<!--.*?-->|<\?.*?\?>|(<!\[CDATA\[)\s*[^\s\]].*?\]\]>|<!\[CDATA\[\s*\]\]>", r"\1"),
+):
+    _ASCII = f"regexp_replace({_ASCII}, '{_from}', '{_to}', 'g')"
+_FIELDS = ("originalform", "targetform")
+ORACLES["p2_found"] = rf"""
+WITH bare AS (SELECT file_id, trim(replace({_ASCII}, '<![CDATA[', 'x')) AS t FROM raw_files WHERE content IS NOT NULL),
+cut AS (SELECT file_id, t, regexp_extract_all(t, '<(?:[^<>"'']|"[^"<]*"|''[^''<]*'')*>|[^<]+') AS l FROM bare),
+whole AS (SELECT * FROM cut WHERE array_to_string(l, '') = t AND len(regexp_extract_all(t, '&')) = len(regexp_extract_all(t, '&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);'))),
+tokens AS (SELECT file_id, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM whole),
+kinds AS (SELECT *, tok LIKE '<%' AND tok NOT LIKE '</%' AND tok NOT LIKE '<!%' AS opens, tok LIKE '</%' AS closes, tok LIKE '<%/>' AS alone, lower(regexp_extract(tok, '^</?(?:[^\s/>:]+:)?([^\s/>]+)', 1)) AS name FROM tokens),
+deep AS (SELECT *, sum(CASE WHEN closes THEN -1 WHEN opens AND NOT alone THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY i) AS d FROM kinds),
+levels AS (SELECT *, CASE WHEN closes OR opens AND alone THEN d + 1 ELSE d END AS level FROM deep),
+paired AS (SELECT *, lead(i) OVER w AS until, lead(name) OVER w AS next_name, lead(closes) OVER w AS next_closes, lag(opens) OVER w AS before_opens FROM levels WHERE (opens OR closes) AND NOT alone WINDOW w AS (PARTITION BY file_id, level ORDER BY i)),
+broken AS (SELECT DISTINCT file_id FROM paired WHERE opens AND (next_closes IS NOT TRUE OR next_name <> name) OR closes AND before_opens IS NOT TRUE),
+roots AS (SELECT file_id FROM levels WHERE opens AND level = 1 GROUP BY file_id HAVING count(*) = 1),
+elements AS (SELECT l.file_id, l.i, l.tok, l.name, coalesce(p.until, l.i) AS until, row_number() OVER (PARTITION BY l.file_id ORDER BY l.i) AS no, l.name IN ('error', 'over_capitalisation') OR starts_with(l.name, 'orth_error') AS ann
+  FROM levels l JOIN roots USING (file_id) LEFT JOIN paired p ON l.file_id = p.file_id AND l.i = p.i WHERE l.opens AND l.file_id NOT IN (SELECT file_id FROM broken)),
+around AS (SELECT e.file_id, e.i, max(a.i) FILTER (a.ann) AS ann_i, max(a.i) AS parent_i FROM elements e JOIN elements a ON e.file_id = a.file_id AND a.i < e.i AND e.i < a.until GROUP BY ALL),
+placed AS (SELECT e.*, coalesce(a.no, 0) AS parent_ann, p.no AS parent_no, p.ann AS in_ann FROM elements e LEFT JOIN around r ON e.file_id = r.file_id AND e.i = r.i LEFT JOIN elements a ON a.file_id = r.file_id AND a.i = r.ann_i LEFT JOIN elements p ON p.file_id = r.file_id AND p.i = r.parent_i),
+children AS (SELECT *, row_number() OVER (PARTITION BY file_id, parent_no, name ORDER BY i) AS seq FROM placed WHERE in_ann AND name IN {_FIELDS}),
+said AS (SELECT c.file_id, c.parent_no, c.name, c.seq FROM children c WHERE EXISTS (SELECT 1 FROM levels t WHERE t.file_id = c.file_id AND t.i BETWEEN c.i AND c.until AND t.tok NOT LIKE '<%' AND regexp_matches(t.tok, '\S'))),
+fields AS (SELECT file_id, parent_no AS no, name AS field, seq FROM said UNION ALL
+  SELECT file_id, no, 'orth_error_target', 1 FROM placed WHERE ann AND len(list_filter(regexp_extract_all(tok, '(?i)[\s:]orth_error_target\s*=\s*("[^"]*"|''[^'']*'')', 1), lambda v: regexp_matches(v, '^.\s*[^\s"'']'))) > 0)
+SELECT f.file_id, f.no::INTEGER AS ann_no, p.parent_ann::INTEGER AS parent_ann_no, field, seq::INTEGER AS field_seq FROM fields f JOIN placed p ON f.file_id = p.file_id AND f.no = p.no"""
