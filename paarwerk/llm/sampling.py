@@ -3,7 +3,7 @@
 Every row of a target's category has the inclusion probability wanted / available. Flight phases move the probabilities
 of two undecided rows of one category against each other until one is decided, which keeps each category's sum; they
 run on the rows of every partition, what is left (at most one row of a category) merges upward, FAN partitions at a
-time, and flies again. The landing decides what is left at the top. Probabilities are kept as whole numbers over a
+time, and flies again. Partitions are those of a hash of the rows' ids, so the draw doesn't depend on how the rows are stored. The landing decides what is left at the top. Probabilities are kept as whole numbers over a
 common denominator, so sums are exact. Coins are hashes of the rows' ids: a task that runs again decides alike.
 
 Rows with a null in a category field, or of a category without a target, are never drawn. A category with fewer rows
@@ -22,6 +22,8 @@ from paarwerk.functions.tables import text_type_key, with_registry
 from paarwerk.session import materialise
 
 FAN = 32
+#: Rows of a partition of the first flight, on average.
+FLIGHT_ROWS = 50_000
 FIELDS = ["corpus", "text_type", "corrected"]
 
 
@@ -91,11 +93,13 @@ def cube(members: DataFrame, planned: DataFrame) -> DataFrame:
             left = [done[open_]]
         yield from left
 
-    start = members.join(F.broadcast(probabilities), "target_id").select("pair_id", "target_id", "num", "den", F.spark_partition_id().alias("part"))
-    flown = materialise(start.mapInPandas(fly, schema), "flight")
+    parts = -(-(planned.agg(F.sum("available")).first()[0] or 1) // FLIGHT_ROWS)
+    part = F.pmod(F.xxhash64("pair_id"), F.lit(parts)).cast("int").alias("part")
+    start = members.join(F.broadcast(probabilities), "target_id").select("pair_id", "target_id", "num", "den", part)
+    # In one order, so that a task that runs again cuts the same batches.
+    flown = materialise(start.repartition(parts, "part").sortWithinPartitions("part", "pair_id").mapInPandas(fly, schema), "flight")
     decided = flown.where("num = den").select("pair_id", "target_id")
     open_, level = flown.where("num < den"), 0
-    parts = (flown.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         level, parts = level + 1, -(-parts // FAN)
         merged = open_.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
@@ -112,7 +116,7 @@ def cube(members: DataFrame, planned: DataFrame) -> DataFrame:
 def sample(pairs: DataFrame, targets: DataFrame, corpora: DataFrame, one_in: int = 5) -> tuple[DataFrame, DataFrame]:
     """The drawn rows (pair_id, target_id), and the report (target_id, wanted, available, drawn, missing, share_off)."""
     members = categories(pairs, targets, corpora)
-    planned = plan(pairs, members, targets, one_in)
+    planned = materialise(plan(pairs, members, targets, one_in), "plan")
     drawn = materialise(cube(members, planned), "sample")
     got = drawn.groupBy("target_id").agg(F.count(F.lit(1)).alias("drawn"))
     rows = planned.join(F.broadcast(got), "target_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))

@@ -117,6 +117,7 @@ def test_sample(spark):
         assert len(got) == len(set(got)) == report[t].drawn == min(wanted, len(have.get(t, ()))) and set(got) <= have.get(t, set())
         assert (report[t].wanted, report[t].missing) == (wanted, wanted - len(got))
     assert {r.pair_id for r in sampling.sample(*frames)[0].collect()} == {r.pair_id for r in drawn}
+    assert {r.pair_id for r in sampling.sample(frames[0].repartition(3, "text_type"), *frames[1:])[0].collect()} == {r.pair_id for r in drawn}
     empty = sampling.sample(frames[0].limit(0), *frames[1:])
     assert empty[0].collect() == [] and {r.target_id: r.wanted for r in empty[1].collect()} == {1: 10, 2: 10, 3: 5, 4: 20}
 
