@@ -8,14 +8,19 @@ posteriors of all others come from the forward-backward algorithm. The counts ar
 without a word are few and are broadcast; those of words are a table by the word itself, which is joined to the texts that
 hold the word, so that no two words share their counts however many there are. The last posteriors decide.
 
-Thai has no marks: there a boundary may be hidden at any blank. A blank line always ends a sentence, a line break alone
-does not. A mark inside a quotation or bracket ends no sentence if the sentence goes on behind it. Null, empty and blank
+Thai has no marks: there a boundary may be hidden at any blank. A paragraph of another script without any mark is written
+without them: there a boundary may be hidden between any two words, in scripts without blanks between any two characters. What
+decides is a bigram model of words (characters), counted over all texts as cut at their marks: how often a word ends sentences,
+begins them, and follows the other inside one. Texts without capitals are judged by a model that knows none.
+
+A blank line always ends a sentence, a line break alone does not. A mark inside a quotation or bracket ends no sentence if the sentence goes on behind it. Null, empty and blank
 texts have no sentences; the last sentence ends with the text's last character that is no white space.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -199,7 +204,75 @@ def places(text: str) -> tuple[list[int], list[str], list[str], list[int], list[
             at = -2 - x
             # Behind the closing sign there is a place, or none: then the sentence goes on.
             inside[k] = at if at < len(ends) and _right_behind(text, tokens, ends, k, at) else -3
-    return ends, lefts, rights, lengths, inside
+    return with_unmarked(text, tokens, ends, lefts, rights, lengths, inside)
+
+
+def with_unmarked(text: str, tokens: list, ends: list[int], lefts: list[str], rights: list[str], lengths: list[int], inside: list[int]) -> tuple:
+    """The places, and those between the words of paragraphs that have no mark: left class `U` with the word before, right class `u` with the word behind."""
+    more = []
+    for own in paragraphs(text, tokens):
+        if not own.marked:
+            more += [(at, f"{own.kind}:{a}", f"u:{b}") for at, a, b in gaps(own.units)]
+    if not more:
+        return ends, lefts, rights, lengths, inside
+    rows = sorted([(e, 1, k, x, r_, n) for k, (e, x, r_, n) in enumerate(zip(ends, lefts, rights, lengths))] + [(e, 0, -1, x, r_, 1) for e, x, r_ in more])
+    at = {k: i for i, (_, _, k, *_) in enumerate(rows) if k >= 0}
+    moved = [at.get(inside[k], inside[k]) if k >= 0 else -1 for _, _, k, *_ in rows]
+    return [x[0] for x in rows], [x[3] for x in rows], [x[4] for x in rows], [x[5] for x in rows], moved
+
+
+class Unit(NamedTuple):
+    """A word, a character of a script without blanks, or another sign."""
+
+    word: str
+    end: int
+    sign: bool
+
+
+class Paragraph(NamedTuple):
+    """The units of a paragraph, whether it has any mark, and which model it is judged by: `Uc` has capitals, `Ul` none."""
+
+    units: list[Unit]
+    marked: bool
+    kind: str
+
+
+def gaps(units: list[Unit]) -> Iterator[tuple[int, str, str]]:
+    """(end, word before, word behind) between two words with nothing but closing and opening signs between them: behind the closing, before the opening ones."""
+    before = None
+    for i, u in enumerate(units):
+        if not u.sign:
+            if before:
+                yield before[0], before[1], u.word
+            before, opened = (u.end, u.word), False
+        elif before and u.word in _CLOSERS and not opened and (u.word not in _CLOSES or u.end - 1 == before[0]):
+            before = (u.end, before[1])
+        elif before and u.word in _CLOSES:
+            opened = True
+        else:
+            before = None
+
+
+def paragraphs(text: str, tokens: list[tuple[str, str, int, int]]) -> Iterator[Paragraph]:
+    """The paragraphs of a text without Thai ones, whose blanks are places already."""
+    at = 0
+    while at < len(tokens):
+        to = at + 1
+        while to < len(tokens) and not _PARAGRAPH.search(text, tokens[to - 1][3], tokens[to][2]):
+            to += 1
+        own = tokens[at:to]
+        at = to
+        letters = "".join(t[1] for t in own if t[0] == "word")
+        if any(_script(c) == "th" for c in letters):
+            continue
+        kind = "Uc" if any(c.isupper() for c in letters) else "Ul"
+        units = []
+        for k, w, start, _ in own:
+            if k == "word" and _script(w[0]) == "cjk":
+                units += [Unit(c, start + i + 1, False) for i, c in enumerate(w)]
+            elif k != "mark":
+                units.append(Unit("0" if k == "num" else w, start + len(w), k == "other"))
+        yield Paragraph(units, any(t[0] == "mark" for t in own), kind)
 
 
 def _right_behind(text: str, tokens: list, ends: list[int], k: int, at: int) -> bool:
@@ -229,6 +302,8 @@ NEXT = {
 CASELESS = frozenset(("k", "th", "hi", "ar"))
 #: Weights of the first chances and of a word that is new, in places; what a capital or opening sign without a boundary loses behind an ellipsis and the like.
 KIND_WEIGHT, WORD_WEIGHT, UNLIKELY = 30.0, 5.0, 0.3
+#: Weights of the rate of boundaries and of the single word, in the bigram model.
+END_WEIGHT, FOLLOW_WEIGHT = 4.0, 2.0
 #: Odds of a boundary that would make a sentence of one or two words out of a word with a full stop.
 SHORT = {1: 0.3, 2: 0.6}
 
@@ -246,9 +321,28 @@ def _worded(left: str) -> bool:
     return left[:2] == "P:" and ":" in left[2:]
 
 
+def _unmarked(left: str) -> bool:
+    return left[:3] in ("Uc:", "Ul:")
+
+
+def language_keys(left: str, right: str) -> tuple[str, str, str]:
+    """Keys of the bigram model: the word before as the last of a sentence, the word behind as the first, and one after the other."""
+    kind, a, b = left[:2], left[3:], right[2:]
+    return f"{kind} E {a}", f"{kind} S {b}", f"{kind} G {a} {b}"
+
+
 def word_keys(lefts: list[str], rights: list[str]) -> list[str]:
     """Keys of the words that a text's places are judged by, each once."""
-    return list(dict.fromkeys([*(f"L {x}" for x in lefts if _worded(x)), *(f"R {x}" for x in rights if ":" in x)]))
+    out: dict[str, None] = {}
+    for left, right in zip(lefts, rights):
+        if _unmarked(left):
+            out |= dict.fromkeys(language_keys(left, right))
+            continue
+        if _worded(left):
+            out[f"L {left}"] = None
+        if ":" in right:
+            out[f"R {right}"] = None
+    return list(out)
 
 
 #: (with a boundary, without) of a word that was never met.
@@ -299,6 +393,20 @@ class Model:
             p *= ((yes if b == "1" else no) + WORD_WEIGHT * base) / (yes + no + WORD_WEIGHT) / base
         return p
 
+    def unmarked(self, left: str, right: str, met: dict[str, tuple[float, float]]) -> float:
+        """Of a boundary between two words of a paragraph without marks, by the bigram model: the one ends a sentence and the other begins one, or the other follows the one."""
+        kind = left[:2]
+        starts, follows = self.n[f"{kind} starts"], self.n[f"{kind} follows"]
+        if not starts or not follows:
+            return 0.0
+        end, start, pair = (met.get(k, UNMET) for k in language_keys(left, right))
+        rate = starts / (starts + follows)
+        e = (end[0] + END_WEIGHT * rate) / (end[0] + end[1] + END_WEIGHT)
+        anywhere = (start[0] + start[1] + 0.5) / (starts + follows + 0.5)
+        s = (start[0] + FOLLOW_WEIGHT * anywhere) / (starts + FOLLOW_WEIGHT)
+        g = (pair[1] + FOLLOW_WEIGHT * (start[1] + 0.5) / (follows + 0.5)) / (end[1] + FOLLOW_WEIGHT)
+        return e * s / (e * s + (1 - e) * g)
+
     def posteriors(self, lefts: list[str], rights: list[str], lengths: list[int], met: dict[str, tuple[float, float]]) -> list[float]:
         """Forward-backward over the places; the state is whether the place holds a boundary."""
         n = len(lefts)
@@ -309,6 +417,10 @@ class Model:
             if left[:1] == "=":
                 steps.append(((0.0, 1.0), (0.0, 1.0)))
                 continue
+            if _unmarked(left):
+                p = self.unmarked(left, right, met)
+                steps.append(((1 - p, p), (1 - p, p)))
+                continue
             p = self.boundary(left, met)
             y, z = p * self.next(right, "1", met), (1 - p) * self.next(right, "0" + _group(left), met)
             odds = SHORT.get(length, 1.0) if left[:2] == "P:" else 1.0
@@ -343,7 +455,7 @@ def expected(lefts: list[str], rights: list[str], post: list[float], counts: dic
     """Add one text's expected counts: of classes without a word, and of words with a boundary and without."""
     for left, right, p in zip(lefts, rights, post):
         left = left.lstrip("=")
-        if not left:
+        if not left or _unmarked(left):
             continue
         kind = right.partition(":")[0]
         for b, x in (("1", p), ("0" + _group(left), 1 - p)):
@@ -360,6 +472,35 @@ def expected(lefts: list[str], rights: list[str], post: list[float], counts: dic
                     words[f"R {right}"][b != "1"] += x
 
 
+def spoken(text: str, cuts: set[int], counts: dict[str, float], words: dict[str, list[float]]) -> None:
+    """Add one text's counts for the bigram model: the words of its paragraphs that have marks, as cut. Marks that end no
+    sentence, and signs around words, are as if they weren't there. A paragraph with capitals also counts in lower case for texts without."""
+    tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    for own in paragraphs(text, tokens):
+        if not own.marked:
+            continue
+        said = [u for u in own.units if not u.sign]
+        ends = sorted(cuts)
+        for kind in ("Uc", "Ul") if own.kind == "Uc" else ("Ul",):
+            before, at = "", 0
+            for u in said:
+                word = u.word.lower() if kind == "Ul" else u.word
+                k = bisect_left(ends, at)
+                if not before or k < len(ends) and ends[k] < u.end:
+                    counts[f"{kind} starts"] += 1
+                    words[f"{kind} S {word}"][0] += 1
+                    if before:
+                        words[f"{kind} E {before}"][0] += 1
+                else:
+                    counts[f"{kind} follows"] += 1
+                    words[f"{kind} S {word}"][1] += 1
+                    words[f"{kind} E {before}"][1] += 1
+                    words[f"{kind} G {before} {word}"][1] += 1
+                before, at = word, u.end
+            if before:
+                words[f"{kind} E {before}"][0] += 1
+
+
 def _met(entries: list[dict] | None) -> dict[str, tuple[float, float]]:
     return {e["key"]: (e["yes"], e["no"]) for e in entries or ()}
 
@@ -382,6 +523,9 @@ def _rows(batch: pa.RecordBatch) -> Iterator[Row]:
     return map(Row._make, zip(*(batch.column(c).to_pylist() for c in Row._fields)))
 
 
+_SAID = (pa.string(), pa.bool_(), pa.float64(), pa.float64())
+
+
 def _batch(rows: list[tuple], kinds: tuple, names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
 
@@ -424,7 +568,7 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], D
                 rows = [(k, True, *n) for k, n in met.items()] + [(k, False, n, 0.0) for k, n in own.items()]
                 met.clear()
                 own.clear()
-                return _batch(rows, (pa.string(), pa.bool_(), pa.float64(), pa.float64()), ("key", "word", "yes", "no"))
+                return _batch(rows, _SAID, ("key", "word", "yes", "no"))
 
             for b in batches:
                 for lefts, rights, lengths, known in zip(*(c.to_pylist() for c in b.columns)):
@@ -440,10 +584,39 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], D
     return counts, words
 
 
+def with_language(texts: DataFrame, counts: dict[str, float], words: DataFrame | None) -> tuple[dict[str, float], DataFrame | None]:
+    """The counts and words with those of the bigram model, where any text has a paragraph without marks. Of the words only those that such texts ask for are kept."""
+    asked = texts.select(F.explode("words").alias("key")).where("key rlike '^U[cl] '").distinct()
+    if asked.isEmpty():
+        return counts, words
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, own, met = Model(held.value), defaultdict(float), defaultdict(lambda: [0.0, 0.0])
+
+        def said() -> pa.RecordBatch:
+            rows = [(k, True, *n) for k, n in met.items()] + [(k, False, n, 0.0) for k, n in own.items()]
+            met.clear()
+            own.clear()
+            return _batch(rows, _SAID, ("key", "word", "yes", "no"))
+
+        for b in batches:
+            for row in _rows(b):
+                spoken(row.text, {row.ends[k] for k in model.decided(row)}, own, met)
+                if len(met) > HELD_WORDS:
+                    yield said()
+        yield said()
+
+    said = with_met(texts, words, [c for c in Row._fields if c != "met"]).mapInArrow(speak, "key string, word boolean, yes double, no double")
+    kept = said.join(asked.withColumn("asked", F.lit(True)), "key", "left").where("not word or asked")
+    sums = materialise(kept.groupBy("key", "word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "language")
+    return counts | {r.key: r.yes for r in sums.where("not word").collect()}, words.unionByName(sums.where("word").drop("word"))
+
+
 def boundaries(chunks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(chunk_id, side, sent_no, end_pos, sentence) of every sentence, sent_no from 1."""
     texts = materialise(features(chunks).withColumn("text_no", F.monotonically_increasing_id()), "places")
-    counts, words = trained(texts, rounds)
+    counts, words = with_language(texts, *trained(texts, rounds))
     held = texts.sparkSession.sparkContext.broadcast(counts)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

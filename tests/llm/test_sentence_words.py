@@ -47,3 +47,30 @@ def test_a_large_vocabulary(spark):
     for i, (at, lefts, rights, lengths, _) in enumerate(parsed):
         post = model.posteriors(lefts, rights, lengths, met)
         assert got[i] == [e for e, p in zip(at, post) if p > 0.5]
+
+
+UNMARKED = {
+    "zh": (["我们去公园玩。", "他在学校学习。", "今天天气很好。", "老师喜欢苹果。"], "今天天气很好老师喜欢苹果", [6, 12]),
+    "ja": (["今日は学校へ行きました。", "たろうは本を読みます。", "明日は雨です。"], "たろうは本を読みます明日は雨です", [10, 16]),
+    "de, no capitals": (["Der Hund bellt laut.", "Wir gehen heute nach Hause.", "Das Wetter ist schön.", "Meine Oma kauft Brot."], "wir gehen heute nach hause das wetter ist schön meine oma kauft brot", [26, 47, 68]),
+    "en": (["The dog is very old.", "We went home late.", "My sister likes cakes."], "We went home late The dog is very old", [17, 37]),
+    "hi": (["राम घर गया।", "सीता ने खाना बनाया।", "बच्चे खेल रहे हैं।"], "बच्चे खेल रहे हैं राम घर गया", [17, 28]),
+    "brackets": (["(Der Hund bellt laut.)", "Wir gehen nach Hause."], "(Der Hund bellt laut) Wir gehen nach Hause", [21, 42]),
+}
+
+
+def test_unpunctuated_texts(spark):
+    """Texts without any mark are cut between words, or characters, by what was learnt from the texts that have marks; one sentence stays one."""
+    texts = [" ".join(said[i % len(said)] for i in range(k, k + 3)).replace("。 ", "。") for said, _, _ in UNMARKED.values() for k in range(8)]
+    whole = ["Wir gehen heute nach Hause", "今天天气很好", "明日は雨です", "Neue Wörter stehen hier ganz allein", "राम घर गया"]
+    found = ends(spark, texts + whole + [t for _, t, _ in UNMARKED.values()])
+    assert [found[len(texts) + i] for i in range(len(whole))] == [[len(t)] for t in whole]
+    got = {k: found[len(texts) + len(whole) + i] for i, k in enumerate(UNMARKED)}
+    assert got == {k: e for k, (_, _, e) in UNMARKED.items()}
+
+
+def test_unmarked_paragraphs_have_places_between_all_words():
+    at, lefts, rights, lengths, inside = sentences.places("Ja gut. Nein!\n\neins zwei, drei (vier) 我们 5")
+    assert at == [7, 13, 19, 30, 37, 39, 40, 42]
+    assert lefts == ["P:short:gut", "=X", "Ul:eins", "Ul:drei", "Ul:vier", "Ul:我", "Ul:们", "="] and len({len(x) for x in (at, lefts, rights, lengths, inside)}) == 1
+    assert sentences.word_keys(["Ul:eins"], ["u:zwei"]) == ["Ul E eins", "Ul S zwei", "Ul G eins zwei"]
