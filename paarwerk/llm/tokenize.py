@@ -101,20 +101,21 @@ class PartitionEncoder:
 
     def learn(self, new: list[str]) -> None:
         """Contract words that are new here, cut first where no token of the vocabulary can lie across."""
-        cut = {w: self._pieces(w.encode()) for w in new}
-        pieces, ids, at, size = sorted({p for ps in cut.values() for p in ps}, key=lambda b: (len(b), b)), {}, 0, 0
+        coded = [w.encode() for w in new]
+        joined, ends = b"".join(coded), np.cumsum([len(b) for b in coded])
+        x = np.frombuffer(joined, np.uint8)
+        cuts = np.union1d(np.flatnonzero(~self.together[x[:-1], x[1:]]) + 1, ends)
+        held = [joined[i:j] for i, j in zip([0, *cuts.tolist()], cuts.tolist())]
+        pieces, ids, at, size = sorted(set(held), key=lambda b: (len(b), b)), {}, 0, 0
         for i, p in enumerate(pieces):
             size += len(p)
             if size >= STEP_BYTES or i + 1 == len(pieces):
                 self._contract(pieces[at : i + 1], ids)
                 at, size = i + 1, 0
-        for w, ps in cut.items():
-            self.known[w] = ids[ps[0]] if len(ps) == 1 else list(chain.from_iterable([ids[p] for p in ps]))
-
-    def _pieces(self, b: bytes) -> list[bytes]:
-        x = np.frombuffer(b, np.uint8)
-        at = np.flatnonzero(~self.together[x[:-1], x[1:]]) + 1
-        return [b[i:j] for i, j in zip([0, *at.tolist()], [*at.tolist(), len(b)])]
+        first = 0
+        for w, to in zip(new, np.searchsorted(cuts, ends, side="right").tolist()):
+            self.known[w] = ids[held[first]] if to == first + 1 else list(chain.from_iterable([ids[p] for p in held[first:to]]))
+            first = to
 
     def _contract(self, pieces: list[bytes], out: dict[bytes, list[int]]) -> None:
         sizes = np.array([len(b) for b in pieces])
