@@ -158,8 +158,6 @@ def annotation_fields(things: DataFrame) -> DataFrame:
 def field_rows(files: DataFrame) -> DataFrame:
     """(file_id, ann_no, parent_ann_no, field, field_seq, value) of every field in every place."""
     rows = read(files)
-    name = F.col("object.name")
-    asked = rows.where(name.isin(*ANNOTATIONS, *CHILD_FIELDS) | name.startswith(ANNOTATION_START))
-    fields = materialise(annotation_fields(materialise(objects(asked), "objects")), "fields")
+    fields = materialise(annotation_fields(materialise(objects(rows), "objects")), "fields")
     places = occurrences(rows).where("annotation").select("file_id", F.col("node_no").alias("ann_no"), F.col("ann_no").alias("parent_ann_no"), "hash")
     return places.join(fields, "hash").drop("hash")
