@@ -260,7 +260,7 @@ for _from, _to in (
 ):
     _ASCII = f"regexp_replace({_ASCII}, '{_from}', '{_to}', 'g')"
 _FIELDS = ("originalform", "targetform")
-ORACLES["p2_found"] = rf"""
+_ELEMENTS = rf"""
 WITH bare AS (SELECT file_id, trim(replace({_ASCII}, '<![CDATA[', 'x')) AS t FROM raw_files WHERE content IS NOT NULL),
 cut AS (SELECT file_id, t, regexp_extract_all(t, '<(?:[^<>"'']|"[^"<]*"|''[^''<]*'')*>|[^<]+') AS l FROM bare),
 whole AS (SELECT * FROM cut WHERE array_to_string(l, '') = t AND len(regexp_extract_all(t, '&')) = len(regexp_extract_all(t, '&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);'))),
@@ -272,7 +272,9 @@ paired AS (SELECT *, lead(i) OVER w AS until, lead(name) OVER w AS next_name, le
 broken AS (SELECT DISTINCT file_id FROM paired WHERE opens AND (next_closes IS NOT TRUE OR next_name <> name) OR closes AND before_opens IS NOT TRUE),
 roots AS (SELECT file_id FROM levels WHERE opens AND level = 1 GROUP BY file_id HAVING count(*) = 1),
 elements AS (SELECT l.file_id, l.i, l.tok, l.name, coalesce(p.until, l.i) AS until, row_number() OVER (PARTITION BY l.file_id ORDER BY l.i) AS no, l.name IN ('error', 'over_capitalisation') OR starts_with(l.name, 'orth_error') AS ann
-  FROM levels l JOIN roots USING (file_id) LEFT JOIN paired p ON l.file_id = p.file_id AND l.i = p.i WHERE l.opens AND l.file_id NOT IN (SELECT file_id FROM broken)),
+  FROM levels l JOIN roots USING (file_id) LEFT JOIN paired p ON l.file_id = p.file_id AND l.i = p.i WHERE l.opens AND l.file_id NOT IN (SELECT file_id FROM broken))"""
+ORACLES["problem_files"] = f"{_ELEMENTS} SELECT file_id::VARCHAR AS doc FROM bare WHERE file_id NOT IN (SELECT file_id FROM elements)"
+ORACLES["p2_found"] = rf"""{_ELEMENTS},
 around AS (SELECT e.file_id, e.i, max(a.i) FILTER (a.ann) AS ann_i, max(a.i) AS parent_i FROM elements e JOIN elements a ON e.file_id = a.file_id AND a.i < e.i AND e.i < a.until GROUP BY ALL),
 placed AS (SELECT e.*, coalesce(a.no, 0) AS parent_ann, p.no AS parent_no, p.ann AS in_ann FROM elements e LEFT JOIN around r ON e.file_id = r.file_id AND e.i = r.i LEFT JOIN elements a ON a.file_id = r.file_id AND a.i = r.ann_i LEFT JOIN elements p ON p.file_id = r.file_id AND p.i = r.parent_i),
 children AS (SELECT *, row_number() OVER (PARTITION BY file_id, parent_no, name ORDER BY i) AS seq FROM placed WHERE in_ann AND name IN {_FIELDS}),

@@ -289,6 +289,11 @@ def extract_problems(spark, d):
     return extract.problems(_docs(spark, d))
 
 
+def problem_files(spark, d):
+    """The files that gave an error instead of pairs."""
+    return extract.problems(_docs(spark, d)).select("doc")
+
+
 def _golden_files(spark: SparkSession) -> DataFrame:
     rows = [(name, bytearray(xml.encode()), dialect) for name, (dialect, xml) in goldens.DOCUMENTS.items()]
     return spark.createDataFrame(rows, "doc string, content binary, dialect string")
@@ -341,7 +346,7 @@ QUERIES = {f.__name__: f for f in (
     corpus_by_text_type, lang_profile_count, language_tokens, single_text_stats, alpha_tokens, whitespace_tokens, text_type_case, sorted_corpora, bag_union,
     clean_filters, interjection_strip, list_marker_strip, whitespace_normal, punctuation_spacing, word_count_filter, remark_filter, dedup_first, renumber,
     limit_per_corpus, exclude_anti, share_join, sentence_split, fragment_merge, zip_longest_sentences, zip_longest_tokens, norm_lines, sentbreak_chunks,
-    hash_split, csv_round_trip, scan_files, stream_files, read_sidecars, read_texts, norm_sink, missing_csv, linearize_p, linearize_x, raw_sentence_pairs, extract_pairs, extract_pairs_strict, extract_problems,
+    hash_split, csv_round_trip, scan_files, stream_files, read_sidecars, read_texts, norm_sink, missing_csv, linearize_p, linearize_x, raw_sentence_pairs, extract_pairs, extract_pairs_strict, extract_problems, problem_files,
     golden_sections, golden_raw_pairs, golden_pairs, golden_pairs_strict, golden_problems,
     p2_found, p2_fields, p2_nodes, p2_objects, p2_bridge,
 )}
