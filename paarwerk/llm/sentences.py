@@ -208,11 +208,12 @@ def places(text: str) -> tuple[list[int], list[str], list[str], list[int], list[
 
 
 def with_unmarked(text: str, tokens: list, ends: list[int], lefts: list[str], rights: list[str], lengths: list[int], inside: list[int]) -> tuple:
-    """The places, and those between the words of paragraphs that have no mark: left class `U` with the word before, right class `u` with the word behind."""
+    """The places, and those between the words of paragraphs that have no mark: left class `Uc` or `Ul` with the word before, right class `u` with the word behind."""
     more = []
     for own in paragraphs(text, tokens):
-        if not own.marked:
-            more += [(at, f"{own.kind}:{a}", f"u:{b}") for at, a, b in gaps(own.units)]
+        if not any(t[0] == "mark" for t in own) and not _is_thai(text, own):
+            kind = "Uc" if _has_capitals(text, own) else "Ul"
+            more += [(at, f"{kind}:{a}", f"u:{b}") for at, a, b in gaps(units(own))]
     if not more:
         return ends, lefts, rights, lengths, inside
     rows = sorted([(e, 1, k, x, r_, n) for k, (e, x, r_, n) in enumerate(zip(ends, lefts, rights, lengths))] + [(e, 0, -1, x, r_, 1) for e, x, r_ in more])
@@ -229,14 +230,6 @@ class Unit(NamedTuple):
     sign: bool
 
 
-class Paragraph(NamedTuple):
-    """The units of a paragraph, whether it has any mark, and which model it is judged by: `Uc` has capitals, `Ul` none."""
-
-    units: list[Unit]
-    marked: bool
-    kind: str
-
-
 def gaps(units: list[Unit]) -> Iterator[tuple[int, str, str]]:
     """(end, word before, word behind) between two words with nothing but closing and opening signs between them: behind the closing, before the opening ones."""
     before = None
@@ -253,26 +246,40 @@ def gaps(units: list[Unit]) -> Iterator[tuple[int, str, str]]:
             before = None
 
 
-def paragraphs(text: str, tokens: list[tuple[str, str, int, int]]) -> Iterator[Paragraph]:
-    """The paragraphs of a text without Thai ones, whose blanks are places already."""
+def paragraphs(text: str, tokens: list[tuple[str, str, int, int]]) -> Iterator[list[tuple[str, str, int, int]]]:
+    """The tokens of each paragraph."""
     at = 0
-    while at < len(tokens):
-        to = at + 1
-        while to < len(tokens) and not _PARAGRAPH.search(text, tokens[to - 1][3], tokens[to][2]):
-            to += 1
-        own = tokens[at:to]
-        at = to
-        letters = "".join(t[1] for t in own if t[0] == "word")
-        if any(_script(c) == "th" for c in letters):
-            continue
-        kind = "Uc" if any(c.isupper() for c in letters) else "Ul"
-        units = []
-        for k, w, start, _ in own:
-            if k == "word" and _script(w[0]) == "cjk":
-                units += [Unit(c, start + i + 1, False) for i, c in enumerate(w)]
-            elif k != "mark":
-                units.append(Unit("0" if k == "num" else w, start + len(w), k == "other"))
-        yield Paragraph(units, any(t[0] == "mark" for t in own), kind)
+    if _PARAGRAPH.search(text):
+        for i in range(1, len(tokens)):
+            if tokens[i][2] - tokens[i - 1][3] > 1 and _PARAGRAPH.search(text, tokens[i - 1][3], tokens[i][2]):
+                yield tokens[at:i]
+                at = i
+    if at < len(tokens):
+        yield tokens[at:]
+
+
+_THAI = re.compile("[\u0e00-\u0e7f]")
+
+
+def _is_thai(text: str, own: list) -> bool:
+    """A paragraph with Thai, whose blanks are places already."""
+    return bool(_THAI.search(text, own[0][2], own[-1][3]))
+
+
+def _has_capitals(text: str, own: list) -> bool:
+    said = text[own[0][2] : own[-1][3]]
+    return said != said.lower()
+
+
+def units(own: list[tuple[str, str, int, int]]) -> list[Unit]:
+    """The words, characters of scripts without blanks, and other signs of a paragraph; numbers are alike, marks left out."""
+    out = []
+    for k, w, start, _ in own:
+        if k == "word" and _script(w[0]) == "cjk":
+            out += [Unit(c, start + i + 1, False) for i, c in enumerate(w)]
+        elif k != "mark":
+            out.append(Unit("0" if k == "num" else w, start + len(w), k == "other"))
+    return out
 
 
 def _right_behind(text: str, tokens: list, ends: list[int], k: int, at: int) -> bool:
@@ -472,33 +479,63 @@ def expected(lefts: list[str], rights: list[str], post: list[float], counts: dic
                     words[f"R {right}"][b != "1"] += x
 
 
-def spoken(text: str, cuts: set[int], counts: dict[str, float], words: dict[str, list[float]]) -> None:
-    """Add one text's counts for the bigram model: the words of its paragraphs that have marks, as cut. Marks that end no
-    sentence, and signs around words, are as if they weren't there. A paragraph with capitals also counts in lower case for texts without."""
-    tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    for own in paragraphs(text, tokens):
-        if not own.marked:
-            continue
-        said = [u for u in own.units if not u.sign]
-        ends = sorted(cuts)
-        for kind in ("Uc", "Ul") if own.kind == "Uc" else ("Ul",):
-            before, at = "", 0
-            for u in said:
-                word = u.word.lower() if kind == "Ul" else u.word
-                k = bisect_left(ends, at)
-                if not before or k < len(ends) and ends[k] < u.end:
-                    counts[f"{kind} starts"] += 1
-                    words[f"{kind} S {word}"][0] += 1
-                    if before:
-                        words[f"{kind} E {before}"][0] += 1
+class Spoken:
+    """Counts for the bigram model: words that begin and end sentences, and words that follow another inside one."""
+
+    def __init__(self) -> None:
+        self.begin: dict[tuple[str, str], int] = defaultdict(int)
+        self.end: dict[tuple[str, str], int] = defaultdict(int)
+        self.pairs: dict[tuple[str, str, str], int] = defaultdict(int)
+
+    def add(self, text: str, cuts: list[int]) -> None:
+        """One text's words in paragraphs that have marks, as cut. Marks that end no sentence, and signs around words, are as if they weren't there."""
+        tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        for own in paragraphs(text, tokens):
+            if not any(t[0] == "mark" for t in own) or _is_thai(text, own):
+                continue
+            kind = "Uc" if _has_capitals(text, own) else "Ul"
+            before, k = "", bisect_left(cuts, own[0][2])
+            for word, end, sign in units(own):
+                if sign:
+                    continue
+                cut = k < len(cuts) and cuts[k] < end
+                while k < len(cuts) and cuts[k] < end:
+                    k += 1
+                if before and not cut:
+                    self.pairs[kind, before, word] += 1
                 else:
-                    counts[f"{kind} follows"] += 1
-                    words[f"{kind} S {word}"][1] += 1
-                    words[f"{kind} E {before}"][1] += 1
-                    words[f"{kind} G {before} {word}"][1] += 1
-                before, at = word, u.end
+                    self.begin[kind, word] += 1
+                    if before:
+                        self.end[kind, before] += 1
+                before = word
             if before:
-                words[f"{kind} E {before}"][0] += 1
+                self.end[kind, before] += 1
+
+    def rows(self) -> list[tuple]:
+        """(key, word, yes, no) of all, and starts anew. What has capitals also counts in lower case, for texts without."""
+        words: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        counts: dict[str, float] = defaultdict(float)
+
+        def all_of(kind: str, *said: str) -> Iterator[tuple]:
+            yield kind, *said
+            if kind == "Uc":
+                yield "Ul", *map(str.lower, said)
+
+        for x, n in self.begin.items():
+            for kind, w in all_of(*x):
+                counts[f"{kind} starts"] += n
+                words[f"{kind} S {w}"][0] += n
+        for x, n in self.end.items():
+            for kind, w in all_of(*x):
+                words[f"{kind} E {w}"][0] += n
+        for x, n in self.pairs.items():
+            for kind, a, b in all_of(*x):
+                counts[f"{kind} follows"] += n
+                words[f"{kind} S {b}"][1] += n
+                words[f"{kind} E {a}"][1] += n
+                words[f"{kind} G {a} {b}"][1] += n
+        self.__init__()
+        return [(k, True, *n) for k, n in words.items()] + [(k, False, n, 0.0) for k, n in counts.items()]
 
 
 def _met(entries: list[dict] | None) -> dict[str, tuple[float, float]]:
@@ -592,20 +629,13 @@ def with_language(texts: DataFrame, counts: dict[str, float], words: DataFrame |
     held = texts.sparkSession.sparkContext.broadcast(counts)
 
     def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, own, met = Model(held.value), defaultdict(float), defaultdict(lambda: [0.0, 0.0])
-
-        def said() -> pa.RecordBatch:
-            rows = [(k, True, *n) for k, n in met.items()] + [(k, False, n, 0.0) for k, n in own.items()]
-            met.clear()
-            own.clear()
-            return _batch(rows, _SAID, ("key", "word", "yes", "no"))
-
+        model, own = Model(held.value), Spoken()
         for b in batches:
             for row in _rows(b):
-                spoken(row.text, {row.ends[k] for k in model.decided(row)}, own, met)
-                if len(met) > HELD_WORDS:
-                    yield said()
-        yield said()
+                own.add(row.text, [row.ends[k] for k in model.decided(row)])
+                if len(own.pairs) > HELD_WORDS:
+                    yield _batch(own.rows(), _SAID, ("key", "word", "yes", "no"))
+        yield _batch(own.rows(), _SAID, ("key", "word", "yes", "no"))
 
     said = with_met(texts, words, [c for c in Row._fields if c != "met"]).mapInArrow(speak, "key string, word boolean, yes double, no double")
     kept = said.join(asked.withColumn("asked", F.lit(True)), "key", "left").where("not word or asked")
