@@ -33,9 +33,8 @@ CONTRACT = """
 WITH RECURSIVE parts(word, pos, id) USING KEY (word, pos) AS (
     SELECT word, pos, id FROM pieces
   UNION (
-    WITH live AS (SELECT DISTINCT word FROM parts),
-    held AS (SELECT r.word, r.pos, r.id, lead(r.id) OVER w AS right_id, lead(r.pos) OVER w AS next_pos, row_number() OVER w AS n
-      FROM recurring.parts r SEMI JOIN live USING (word) WHERE r.id >= 0 WINDOW w AS (PARTITION BY r.word ORDER BY r.pos)),
+    WITH held AS (SELECT r.word, r.pos, r.id, lead(r.id) OVER w AS right_id, lead(r.pos) OVER w AS next_pos, row_number() OVER w AS n
+      FROM recurring.parts r WHERE r.id >= 0 AND r.word IN (SELECT word FROM parts) WINDOW w AS (PARTITION BY r.word ORDER BY r.pos)),
     pairs AS (SELECT held.word, held.pos, held.next_pos, held.n, m.made, m.rank FROM held JOIN merges m ON m.left_id = held.id AND m.right_id = held.right_id),
     best AS (SELECT * FROM pairs QUALIFY rank = min(rank) OVER (PARTITION BY word)),
     islands AS (SELECT *, n - row_number() OVER (PARTITION BY word ORDER BY n) AS island FROM best),
