@@ -254,11 +254,12 @@ def rebuilt(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     # A number of its own keeps the rows, few bytes but much work, from being put together in few tasks.
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     characters = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    cps = df.select(*keys, text).repartition(parts, *keys).select(*keys, F.posexplode(characters(F.col(text))).alias("_pos", "_c"))
-    by = W.partitionBy(*keys).orderBy("_pos")
+    # Each code point with its neighbours; a lambda's argument is computed once, a column in its body would be for every code point.
+    around_of = lambda x: F.transform(x, lambda c, i: F.struct(i.alias("_pos"), c.alias("_c"), F.get(x, i - 1).alias("_before"), F.get(x, i + 1).alias("_after")))
+    cps = df.select(*keys, text).repartition(parts, *keys).select(*keys, F.inline(F.transform(F.array(characters(F.col(text))), around_of)[0]))
     composed = set(composition().values())
     table = _lookup(df, "_c string, _to string, _stable boolean", [(c, to, c in composed and bool(_LATIN.match(c))) for c, to in decomposition().items()])
-    around = cps.join(table, "_c", "left").select(*keys, "_pos", "_c", "_to", "_stable", F.lag("_c").over(by).alias("_before"), F.lead("_c").over(by).alias("_after"))
+    around = cps.join(table, "_c", "left")
     keeps = F.col("_c").isin(*JOINERS) & F.col("_before").rlike(_NEEDS_JOINER) & F.col("_after").rlike(_NEEDS_JOINER)
     # A composed Latin letter is taken apart only where a mark may follow it; all others would come out as they went in.
     rests = F.col("_stable") & ~F.coalesce(F.col("_after").rlike(r"^[\p{M}\p{Cf}]"), F.lit(False))
