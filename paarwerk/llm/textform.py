@@ -24,8 +24,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from paarwerk.session import materialise
-
 # Letters of other scripts and the Latin letters that they look like (Greek, Cyrillic, Armenian, Cherokee, Coptic, Lisu).
 LOOK_ALIKE = dict(
     zip(
@@ -247,25 +245,27 @@ def _java(scripts: list[str]) -> str:
 
 
 def rebuilt(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """`keys` and the column `form`, the consistent form of each `text`. keys must be unique, texts not null. A text of which nothing is left has no row.
+    """`keys`, `text` and the column `form`, the consistent form of each text. keys must be unique, texts not null.
 
-    The texts, not the code points, are shuffled by key; the windows and the last aggregation keep that partitioning.
+    The texts, not the code points, are shuffled by key; the windows and the last aggregation keep that partitioning. Before
+    its first code point every text has a row that stands for nothing and brings the text itself along.
     """
     # A number of its own keeps the rows, few bytes but much work, from being put together in few tasks.
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     characters = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
     # Each code point with its neighbours; a lambda's argument is computed once, a column in its body would be for every code point.
-    around_of = lambda x: F.transform(x, lambda c, i: F.struct(i.alias("_pos"), c.alias("_c"), F.get(x, i - 1).alias("_before"), F.get(x, i + 1).alias("_after")))
-    cps = df.select(*keys, text).repartition(parts, *keys).select(*keys, F.inline(F.transform(F.array(characters(F.col(text))), around_of)[0]))
+    held = F.array_insert(characters(F.col(text)), 1, F.lit(""))
+    around_of = lambda x: F.transform(x, lambda c, i: F.struct(i.alias("_pos"), c.alias("_c"), F.get(x, i - 1).alias("_before"), F.get(x, i + 1).alias("_after"), F.when(i == 0, F.col(text)).alias("_text")))
+    cps = df.select(*keys, text).repartition(parts, *keys).select(*keys, F.inline(F.transform(F.array(held), around_of)[0]))
     composed = set(composition().values())
     table = _lookup(df, "_c string, _to string, _stable boolean", [(c, to, c in composed and bool(_LATIN.match(c))) for c, to in decomposition().items()])
     around = cps.join(table, "_c", "left")
     keeps = F.col("_c").isin(*JOINERS) & F.col("_before").rlike(_NEEDS_JOINER) & F.col("_after").rlike(_NEEDS_JOINER)
     # A composed Latin letter is taken apart only where a mark may follow it; all others would come out as they went in.
     rests = F.col("_stable") & ~F.coalesce(F.col("_after").rlike(r"^[\p{M}\p{Cf}]"), F.lit(False))
-    decomposed = around.select(*keys, "_pos", F.when(F.coalesce(keeps | rests, F.lit(False)), F.col("_c")).otherwise(F.coalesce("_to", "_c")).alias("_seq")).where("_seq <> ''")
-    single = F.length("_seq") == 1
-    pieces = decomposed.select(*keys, "_pos", F.posexplode(F.when(single, F.array("_seq")).otherwise(characters(F.col("_seq")))).alias("_sub", "_c"))
+    decomposed = around.select(*keys, "_pos", "_text", F.when(F.coalesce(keeps | rests, F.lit(False)), F.col("_c")).otherwise(F.coalesce("_to", "_c")).alias("_seq")).where("_seq <> '' or _pos = 0")
+    single = F.length("_seq") <= 1
+    pieces = decomposed.select(*keys, "_pos", "_text", F.posexplode(F.when(single, F.array("_seq")).otherwise(characters(F.col("_seq")))).alias("_sub", "_c"))
     seconds = {p[1] for p in composition()}
     elements = _lookup(df, "_c string, _ccc int, _joins boolean, _latin string, _odd boolean", [
         (c, U.combining(c), bool(U.combining(c)) or c in seconds, latin_letters().get(c), c in latin_letters() and c not in LOOK_ALIKE)
@@ -282,10 +282,10 @@ def rebuilt(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     of_word = lambda c: F.sum(c.cast("int")).over(word)
     judged = placed.withColumns({"_n": of_word(F.col("_c").rlike(r"^[\p{L}&&\p{IsLatin}]")), "_others": of_word(F.col("_latin").isNotNull()), "_odds": of_word(F.coalesce("_odd", F.lit(False)))})
     mixed = (F.col("_n") > 0) & ((F.col("_n") >= F.col("_others")) | (F.col("_odds") == 0))
-    chosen = judged.select(*keys, "_cluster", "_k", "_ccc", "_pos", "_sub", F.when(F.col("_latin").isNotNull() & mixed, F.col("_latin")).otherwise(F.col("_c")).alias("_c"))
-    clusters = chosen.groupBy(*keys, "_cluster").agg(F.array_sort(F.collect_list(F.struct("_k", "_ccc", "_pos", "_sub", "_c"))).alias("_m"))
-    done = composed_clusters(clusters, "_m", "_c").select(*keys, "_cluster", "_c")
-    return done.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_cluster", "_c"))), lambda x: x["_c"]), "").alias("form"))
+    chosen = judged.select(*keys, "_text", "_cluster", "_k", "_ccc", "_pos", "_sub", F.when(F.col("_latin").isNotNull() & mixed, F.col("_latin")).otherwise(F.col("_c")).alias("_c"))
+    clusters = chosen.groupBy(*keys, "_cluster").agg(F.max("_text").alias("_text"), F.array_sort(F.collect_list(F.struct("_k", "_ccc", "_pos", "_sub", "_c"))).alias("_m"))
+    done = composed_clusters(clusters, "_m", "_c").select(*keys, "_text", "_cluster", "_c")
+    return done.groupBy(*keys).agg(F.max("_text").alias("text"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_cluster", "_c"))), lambda x: x["_c"]), "").alias("form"))
 
 
 def composed_clusters(clusters: DataFrame, m: str, out: str) -> DataFrame:
@@ -317,7 +317,7 @@ def consistent_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame
     tall = questionable_texts(df, key, columns)
     forms = rebuilt(tall, [key, "side"], "text").groupBy(key).agg(*[F.max(F.when(F.col("side") == c, F.col("form"))).alias(f"_form_{c}") for c in columns])
     clean, dirty = df.where(~asked), df.where(asked)
-    return clean.unionByName(dirty.join(forms, key, "left").select(*[F.when(is_questionable(c), F.coalesce(f"_form_{c}", F.lit(""))).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns]))
+    return clean.unionByName(dirty.join(forms, key, "left").select(*[F.coalesce(f"_form_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns]))
 
 
 def questionable_texts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -328,5 +328,4 @@ def questionable_texts(df: DataFrame, key: str, columns: list[str]) -> DataFrame
 
 def changed_texts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, side) of each text that isn't in consistent form."""
-    tall = materialise(questionable_texts(df, key, columns), "questionable")
-    return tall.join(rebuilt(tall, [key, "side"], "text"), [key, "side"], "left").where(F.coalesce("form", F.lit("")) != F.col("text")).select(key, "side")
+    return rebuilt(questionable_texts(df, key, columns), [key, "side"], "text").where("form <> text").select(key, "side")
