@@ -87,7 +87,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.boundaries(_chunks(spark, d)).select("chunk_id", "side", "sent_no", "end_pos", "sentence")
+    """By a model that is trained first and kept."""
+    model = new_path(spark, "sentence-model")
+    sentences.train(_chunks(spark, d), model)
+    return sentences.boundaries(_chunks(spark, d), model=model).select("chunk_id", "side", "sent_no", "end_pos", "sentence")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paarwerk.session import materialise
 
@@ -621,10 +621,10 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], D
     return counts, words
 
 
-def with_language(texts: DataFrame, counts: dict[str, float], words: DataFrame | None) -> tuple[dict[str, float], DataFrame | None]:
-    """The counts and words with those of the bigram model, where any text has a paragraph without marks. Of the words only those that such texts ask for are kept."""
+def with_language(texts: DataFrame, counts: dict[str, float], words: DataFrame, whole: bool = False) -> tuple[dict[str, float], DataFrame]:
+    """The counts and words with those of the bigram model: all (`whole`), or, where any text has a paragraph without marks, those that such texts ask for."""
     asked = texts.select(F.explode("words").alias("key")).where("key rlike '^U[cl] '").distinct()
-    if asked.isEmpty():
+    if not whole and asked.isEmpty():
         return counts, words
     held = texts.sparkSession.sparkContext.broadcast(counts)
 
@@ -638,25 +638,42 @@ def with_language(texts: DataFrame, counts: dict[str, float], words: DataFrame |
         yield _batch(own.rows(), _SAID, ("key", "word", "yes", "no"))
 
     said = with_met(texts, words, [c for c in Row._fields if c != "met"]).mapInArrow(speak, "key string, word boolean, yes double, no double")
-    kept = said.join(asked.withColumn("asked", F.lit(True)), "key", "left").where("not word or asked")
+    kept = said if whole else said.join(asked.withColumn("asked", F.lit(True)), "key", "left").where("not word or asked")
     sums = materialise(kept.groupBy("key", "word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "language")
     return counts | {r.key: r.yes for r in sums.where("not word").collect()}, words.unionByName(sums.where("word").drop("word"))
 
 
-def boundaries(chunks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(chunk_id, side, sent_no, end_pos, sentence) of every sentence, sent_no from 1."""
-    texts = materialise(features(chunks).withColumn("text_no", F.monotonically_increasing_id()), "places")
-    counts, words = with_language(texts, *trained(texts, rounds))
+def _places(chunks: DataFrame) -> DataFrame:
+    return materialise(features(chunks).withColumn("text_no", F.monotonically_increasing_id()), "places")
+
+
+def train(chunks: DataFrame, path: str, rounds: int = ROUNDS) -> None:
+    """Train a model on all texts and keep it at `path` (folders classes and words), for `boundaries` of these and of other texts."""
+    texts = _places(chunks)
+    counts, words = with_language(texts, *trained(texts, rounds), whole=True)
+    chunks.sparkSession.createDataFrame(list(counts.items()), "key string, n double").write.mode("overwrite").parquet(f"{path}/classes")
+    words.groupBy("key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).write.mode("overwrite").parquet(f"{path}/words")
+
+
+def stored(spark: SparkSession, path: str) -> tuple[dict[str, float], DataFrame]:
+    """A model that `train` has kept: counts of classes without a word, which are few, and the table of words."""
+    return {r.key: r.n for r in spark.read.parquet(f"{path}/classes").collect()}, spark.read.parquet(f"{path}/words")
+
+
+def boundaries(chunks: DataFrame, rounds: int = ROUNDS, model: str | None = None) -> DataFrame:
+    """(chunk_id, side, sent_no, end_pos, sentence) of every sentence, sent_no from 1. By the model kept at `model`, or else by one that is trained on these texts."""
+    texts = _places(chunks)
+    counts, words = stored(chunks.sparkSession, model) if model else with_language(texts, *trained(texts, rounds))
     held = texts.sparkSession.sparkContext.broadcast(counts)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(held.value)
+        known = Model(held.value)
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
         for b in batches:
             out = []
             for row in _rows(b):
                 at = 0
-                for no, k in enumerate(model.decided(row), 1):
+                for no, k in enumerate(known.decided(row), 1):
                     end = row.ends[k]
                     out.append((row.chunk_id, row.side, no, end, row.text[at:end].strip()))
                     at = end

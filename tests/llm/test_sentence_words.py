@@ -74,3 +74,18 @@ def test_unmarked_paragraphs_have_places_between_all_words():
     assert at == [7, 13, 19, 30, 37, 39, 40, 42]
     assert lefts == ["P:short:gut", "=X", "Ul:eins", "Ul:drei", "Ul:vier", "Ul:我", "Ul:们", "="] and len({len(x) for x in (at, lefts, rights, lengths, inside)}) == 1
     assert sentences.word_keys(["Ul:eins"], ["u:zwei"]) == ["Ul E eins", "Ul S zwei", "Ul G eins zwei"]
+
+
+def test_a_kept_model(spark):
+    """A model that was trained on other texts and kept cuts as one trained on the spot does; it also knows the words of unmarked texts."""
+    from paarwerk.session import new_path
+
+    said, text, want = UNMARKED["en"]
+    schema = "chunk_id long, src string, tgt string"
+    learnt = spark.createDataFrame([(i, " ".join(said[(i + k) % 3] for k in range(3)), None) for i in range(8)], schema)
+    path = new_path(spark, "model")
+    sentences.train(learnt, path)
+    asked = spark.createDataFrame([(1, text, None), (2, None, "It is late. We go!"), (3, None, "")], schema)
+    got = sorted((r.chunk_id, r.side, r.end_pos) for r in sentences.boundaries(asked, model=path).collect())
+    assert got == [(1, "src", e) for e in want] + [(2, "tgt", 11), (2, "tgt", 18)]
+    assert sorted(map(tuple, sentences.boundaries(learnt, model=path).collect())) == sorted(map(tuple, sentences.boundaries(learnt).collect()))
