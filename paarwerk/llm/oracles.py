@@ -151,6 +151,12 @@ ORACLES["p8_found"] = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL), e AS MATERIALIZED (SELECT item_id, {_words('text')} AS w FROM eval_items WHERE text IS NOT NULL),
 dg AS ({_GRAMS('d', 'doc_id', 10)}), eg AS ({_GRAMS('e', 'item_id', 10)}) SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)"""
 
+ORACLES["p8_removed"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL), e AS MATERIALIZED (SELECT item_id, {_words('text')} AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+eg AS ({_GRAMS('e', 'item_id', 10)}), places AS (SELECT doc_id, len(w) AS n, i, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM d)),
+gone AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + 10)) AS p FROM places WHERE g IN (SELECT g FROM eg))
+SELECT doc_id, n::INTEGER AS words, count(*)::INTEGER AS removed_words, count(*) > 0.5 * n AS dropped FROM gone GROUP BY doc_id, n"""
+
 _MEASURED = rf"""
 d AS MATERIALIZED (SELECT doc_id, source, text, CASE WHEN text IS NULL THEN [] ELSE {_words("coalesce(text, '')")} END AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d)),

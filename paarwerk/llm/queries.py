@@ -110,6 +110,11 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(_documents(spark, d), table(spark, d, "eval_items"))
 
 
+def p8_removed(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document with a leak is one, without the text that is left."""
+    return p8_cleaned(spark, d).drop("text")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.judged(_documents(spark, d)).where("suspect and fails_runs").select("doc_id")
 
@@ -124,5 +129,5 @@ def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_splits, p1_quarantine, p3_found, p3_texts, p4_found, p4_report, p5_found, p5_sample, p5_report,
-    p6_found, p6_sentences, p7_ids, p7_round_trip, p8_found, p8_cleaned, p9_found, p9_documents, p9_hosts,
+    p6_found, p6_sentences, p7_ids, p7_round_trip, p8_found, p8_cleaned, p8_removed, p9_found, p9_documents, p9_hosts,
 )}
