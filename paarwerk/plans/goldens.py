@@ -45,6 +45,16 @@ DOCUMENTS = {
     "empty original": _x(f"Das ist {_error('', 'sehr')}<palimpsest>schön</palimpsest> heute."),
     "palimpsest inside": _x(f"Das ist {_error('<palimpsest>schon</palimpsest>', 'schön')} heute."),
     "correction inside": _x(f"Das ist {_error('seh<correction><deletion>x</deletion><insertion>er</insertion></correction>', 'sehr')} gut."),
+    "symbol": _p(["Ich bin <tran_symbol_id32>x</tran_symbol_id32> heute müde."]),
+    "correction around": _p(['Wir <tran_word_correction_id25 tran_correction_original="x">gehen <orth_error_id12 orth_error_target="heute">heut</orth_error_id12> ins</tran_word_correction_id25> Kino.']),
+    "ambiguous": _p(['Es war <tran_ambiguous_id3 tran_alternative_1="kalt" tran_alternative_2="alt">kalt</tran_ambiguous_id3> in <tran_emphasis_id11>dem</tran_emphasis_id11> Haus.']),
+    "left out": _p(['Das ist <tran_word_deletion_id8 tran_word_deletion_target="_#_">sehr</tran_word_deletion_id8> schön heute.']),
+    "palimpsest and strikeover": _x("Das <palimpsest>Hau<strikeover><expansion>s</expansion></strikeover>es</palimpsest> steht hier."),
+    "palimpsest and error": _x(f"Wir <palimpsest>sehen {_error('di', 'die')} Katze</palimpsest> gern."),
+    "alternatives": _x("Das ist <ambiguous><alternative>gut</alternative><alternative>Gut</alternative></ambiguous> heute."),
+    "signs": _x("Ich <symbol>:)</symbol> bin <emoticon>x</emoticon>heute <unreadable>abc</unreadable> müde."),
+    "closing": _x("Das ist alles.<closing>Deine Eva</closing>"),
+    "two exercises": _x("Der Hund ist da.", "Die Katze ist weg."),
     "not closed": ("P", "<root><body>"),
 }
 
@@ -72,6 +82,16 @@ SECTIONS = [
     ("empty original", 1, "Das ist schön heute.", "Das ist sehr schön heute."),
     ("palimpsest inside", 1, "Das ist schonschon heute.", "Das ist schön heute."),
     ("correction inside", 1, "Das ist sehxer gut.", "Das ist sehr gut."),
+    ("symbol", 1, "Ich bin heute müde.", "Ich bin heute müde."),
+    ("correction around", 1, "Wir gehen heut Kino.", "Wir gehen heut Kino."),
+    ("ambiguous", 1, "Es war kalt in dem Haus.", "Es war kalt in dem Haus."),
+    ("left out", 1, "Das ist schön heute.", "Das ist schön heute."),
+    ("palimpsest and strikeover", 1, "Das Hauses steht hier.", "Das Hauses steht hier."),
+    ("palimpsest and error", 1, "Wir sehen di Katze gern.", "Wir sehen die Katze gern."),
+    ("alternatives", 1, "Das ist gut heute.", "Das ist gut heute."),
+    ("signs", 1, "Ich bin heute müde.", "Ich bin heute müde."),
+    ("closing", 1, "Das ist alles. Deine Eva", "Das ist alles. Deine Eva"),
+    ("two exercises", 1, "Der Hund ist da. Die Katze ist weg.", "Der Hund ist da. Die Katze ist weg."),
 ]
 # (name, section, pos, src, tgt, corrected, has_foreign): pairs before cleaning.
 RAW = [
@@ -103,14 +123,27 @@ RAW = [
     ("empty original", 1, 0, "Das ist schön heute.", "Das ist sehr schön heute.", True, False),
     ("palimpsest inside", 1, 0, "Das ist schonschon heute.", "Das ist schön heute.", True, False),
     ("correction inside", 1, 0, "Das ist sehxer gut.", "Das ist sehr gut.", True, False),
+    ("symbol", 1, 0, "Ich bin heute müde.", "Ich bin heute müde.", False, False),
+    ("correction around", 1, 0, "Wir gehen heut Kino.", "Wir gehen heut Kino.", False, False),
+    ("ambiguous", 1, 0, "Es war kalt in dem Haus.", "Es war kalt in dem Haus.", False, False),
+    ("left out", 1, 0, "Das ist schön heute.", "Das ist schön heute.", False, False),
+    ("palimpsest and strikeover", 1, 0, "Das Hauses steht hier.", "Das Hauses steht hier.", False, False),
+    ("palimpsest and error", 1, 0, "Wir sehen di Katze gern.", "Wir sehen die Katze gern.", True, False),
+    ("alternatives", 1, 0, "Das ist gut heute.", "Das ist gut heute.", False, False),
+    ("signs", 1, 0, "Ich bin heute müde.", "Ich bin heute müde.", False, False),
+    ("closing", 1, 0, "Das ist alles.", "Das ist alles.", False, False),
+    ("closing", 1, 1, "Deine Eva", "Deine Eva", False, False),
+    ("two exercises", 1, 0, "Der Hund ist da.", "Der Hund ist da.", False, False),
+    ("two exercises", 1, 1, "Die Katze ist weg.", "Die Katze ist weg.", False, False),
 ]
-_DROPPED = {("foreign word", 1, 0), ("same twice", 1, 1), ("same twice", 1, 2), ("greeting", 1, 0), ("remark", 1, 0), ("foreign chunk", 1, 0)}
-_NUMBERS = {("foreign word", 2, 0): 1, ("two divs", 1, 1): 2, ("deleted behind a break", 1, 1): 2, ("same twice", 1, 3): 2}
+_DROPPED = {("foreign word", 1, 0), ("same twice", 1, 1), ("same twice", 1, 2), ("greeting", 1, 0), ("remark", 1, 0), ("foreign chunk", 1, 0), ("closing", 1, 1)}
+_NUMBERS = {("foreign word", 2, 0): 1, ("two divs", 1, 1): 2, ("deleted behind a break", 1, 1): 2, ("same twice", 1, 3): 2, ("two exercises", 1, 1): 2}
 # (name, sent_num, src, tgt, corrected): cleaned, first of equals, numbered.
 PAIRS = [(r[0], _NUMBERS.get(r[:3], 1), *r[3:6]) for r in RAW if r[:3] not in _DROPPED]
 _MENDED = {
     "recent target": ("Er kommt nicht und ihc gehe allein.", "Er kommt nicht und ich gehe allein."),
     "palimpsest inside": ("Das ist schon heute.", "Das ist schön heute."),
     "correction inside": ("Das ist seher gut.", "Das ist sehr gut."),
+    "correction around": ("Wir gehen heut ins Kino.", "Wir gehen heute ins Kino."),
 }
-STRICT = [(name, no, *_MENDED.get(name, (src, tgt)), corrected) for name, no, src, tgt, corrected in PAIRS]
+STRICT = [(name, no, *_MENDED[name], True) if name in _MENDED else (name, no, src, tgt, corrected) for name, no, src, tgt, corrected in PAIRS]
