@@ -22,7 +22,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from math import exp, log
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -33,15 +35,14 @@ from paarwerk.session import materialise
 ROUNDS = 3
 #: Words whose counts a task holds before it hands them on; Spark adds up what several tasks or batches say of a word.
 HELD_WORDS = 100_000
-# Abbreviations that seldom end a sentence, in the languages at hand.
+# Abbreviations that seldom end a sentence, in the languages at hand. They are first odds only: whether a short
+# word is one is judged by all texts.
 ABBREVIATIONS = frozenset(
     "dr prof fr hr frl st nr mr mrs ms jr sr z b d h u a o s v bzw evtl ca vgl ggf inkl sog str bd kap abb tel geb gest dipl ing "
     "a.m p.m dott dott.ssa sig sig.ra sigg prof.ssa pag pagg es ecc.ti art cap vol fig no vs cf e.g i.e approx dept fig gen col lt rev hon capt "
     "jan feb mär apr jun jul aug sep sept okt nov dez mt ft mme mlle डॉ श्री प्रो د أ م ق".split()
 )
-# Abbreviations that may stand at the end of a sentence as well as inside it.
-EITHER = frozenset("usw etc ecc u.a o.ä inc ltd co corp".split())
-# What may follow the number of an ordinal.
+# What may follow the number of an ordinal; first chances only.
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner klasse schuljahr stock platz jahrhundert".split())
 
 _LETTER = r"[^\W\d_]"
@@ -89,15 +90,25 @@ def _left_class(word: tuple[str, str, str] | None, mark: str, closed: str) -> st
     if kind == "num":
         return f"P:num:{before.lower()}" if len(w) <= 2 else "P:figure"
     low = w.lower()
-    if low in ABBREVIATIONS or low.endswith("str"):  # also names of streets
-        return f"P:abbr:{low}"
-    if low in EITHER:
-        return f"P:either:{low}"
+    if is_short(low):
+        return f"P:short:{low}"
     if len(w) == 1:
         return "P:initial" if w.isupper() else "P:letter"
-    if "." in w:
-        return f"P:dotted:{low}"
-    return f"P:short:{low}" if len(w) <= 5 and _script(w[0]) == "x" else "P:word"
+    return f"P:dotted:{low}" if "." in w else "P:word"
+
+
+def is_known(low: str) -> bool:
+    """A word that is taken for an abbreviation until the texts say otherwise; also names of streets."""
+    return low in ABBREVIATIONS or low.endswith("str")
+
+
+def is_short(low: str) -> bool:
+    """A word that could be an abbreviation: what the texts say of it is counted."""
+    return len(low) > 1 and is_known(low) or 1 < len(low) <= 5 and "." not in low and _script(low[0]) in ("x", "hi", "ar")
+
+
+#: Log odds that a known word, and any other short one, is an abbreviation, before any text is seen.
+KNOWN, UNKNOWN = 5.0, -2.5
 
 
 def _right_class(tokens: list[tuple[str, str, int, int]], i: int) -> str:
@@ -294,7 +305,7 @@ def _right_behind(text: str, tokens: list, ends: list[int], k: int, at: int) ->
 
 #: Chances of a boundary before any text is seen, by the longest prefix of the left class, with their weight in places.
 PRIOR = {
-    "P:num": (0.5, 4), "P:figure": (0.9, 4), "P:abbr": (0.01, 60), "P:either": (0.5, 4), "P:initial": (0.05, 40), "P:letter": (0.1, 10), "P:dotted": (0.1, 10),
+    "P:num": (0.5, 4), "P:figure": (0.9, 4), "P:abbr": (0.01, 60), "P:initial": (0.05, 40), "P:letter": (0.1, 10), "P:dotted": (0.1, 10),
     "P:short": (0.97, 8), "P:word": (0.99, 50), "P": (0.9, 4), "E": (0.8, 10), "Ek": (0.2, 20), "X": (0.97, 30), "C": (0.999, 200), "th": (0.97, 30),
     "P)q0": (0.1, 6), "X)q0": (0.04, 20), "C)q0": (0.04, 20), "E)q0": (0.1, 6), "P)q:": (0.95, 20), "X)q:": (0.9, 20), "C)q:": (0.95, 20), "E)q:": (0.9, 10),
     "P)qm": (0.6, 4), "X)qm": (0.3, 4), "C)qm": (0.2, 6), "E)qm": (0.3, 4), "P)b0": (0.98, 20), "X)b0": (0.98, 20), "C)b0": (0.98, 20), "E)b0": (0.9, 10),
@@ -318,8 +329,9 @@ SHORT = {1: 0.3, 2: 0.6}
 def _group(left: str) -> str:
     """What a next class without a boundary depends on."""
     if left[:2] == "P:":
-        kind = left[2:].partition(":")[0]
-        return kind if kind in ("num", "either") else "abbr" if kind in ("abbr", "initial", "letter", "dotted") else "word"
+        kind, _, low = left[2:].partition(":")
+        kind = "abbr" if kind == "short" and is_known(low) else kind
+        return kind if kind == "num" else "abbr" if kind in ("abbr", "initial", "letter", "dotted") else "word"
     return left[1:3] if ")" in left else left
 
 
@@ -347,6 +359,8 @@ def word_keys(lefts: list[str], rights: list[str]) -> list[str]:
             continue
         if _worded(left):
             out[f"L {left}"] = None
+            if left[:8] == "P:short:":
+                out |= {f"T {left[8:]}": None, f"Z {left[8:]}": None}
         if ":" in right:
             out[f"R {right}"] = None
     return list(out)
@@ -370,6 +384,10 @@ class Model:
             while base not in PRIOR:
                 base = base.rpartition(":")[0] if ":" in base else base[:-1]
             mean, weight = PRIOR[base]
+            if base == "P:short":  # between that of ordinary words and that of abbreviations
+                share, (m, w) = self.abbreviated(left, met), PRIOR["P:abbr"]
+                mean, weight = mean + share * (m - mean), weight + share * (w - weight)
+                base = "P:abbr" if share > 0.5 else base
             yes, no = met.get(f"L {left}", UNMET) if _worded(left) else (self.n[f"L1 {left}"], self.n[f"L0 {left}"])
             if base in ("P:word", "P:short"):  # the first chance keeps a third: a word that one text repeats must not become an abbreviation
                 weight += 0.5 * (yes + no)
@@ -378,6 +396,20 @@ class Model:
                 self.cache[left] = p
         return p
 
+    def abbreviated(self, left: str, met: dict[str, tuple[float, float]]) -> float:
+        """The chance that a short word is an abbreviation: it hardly ever stands without its full stop, and hardly ever with it at the end of a text or paragraph, where other words' full stops often are."""
+        low = left[8:]
+        (stops, without), (ends, _) = met.get(f"T {low}", UNMET), met.get(f"Z {low}", UNMET)
+        rate = (self.n["T ends"] + 1) / (self.n["T stops"] + 8)
+        odds = (KNOWN if is_known(low) else UNKNOWN) - (stops - ends) * log(1 - rate) + ends * log(1e-3 / rate) + without * log(0.05 / 0.9)
+        return 1 / (1 + exp(-max(-30.0, min(30.0, odds))))
+
+    def group(self, left: str, met: dict[str, tuple[float, float]]) -> str:
+        """What a next class without a boundary depends on."""
+        if left[:8] == "P:short:":
+            return "abbr" if self.abbreviated(left, met) > 0.5 else "word"
+        return _group(left)
+
     def next(self, right: str, b: str, met: dict[str, tuple[float, float]]) -> float:
         """Of a class after a boundary ("1") or after none ("0" and the group of what is before).
 
@@ -388,7 +420,7 @@ class Model:
         p = self.cache.get(key)
         if p is None:
             group, total = b[1:], self.n[f"K{b}"]
-            prior = NEXT[kind][b != "1"] * (UNLIKELY if group in ("E", "either", "q:") and kind in ("cap", "initial", "open", "open(", "item") else 1)
+            prior = NEXT[kind][b != "1"] * (UNLIKELY if group in ("E", "q:") and kind in ("cap", "initial", "open", "open(", "item") else 1)
             # Half of the first chances stays: one kind of text must not set those of all others. Behind an ordinary word with a
             # full stop most of them stays, since places without a boundary are hardly ever sure there.
             weight = KIND_WEIGHT + total * (4 if group == "word" else 1)
@@ -429,7 +461,7 @@ class Model:
                 steps.append(((1 - p, p), (1 - p, p)))
                 continue
             p = self.boundary(left, met)
-            y, z = p * self.next(right, "1", met), (1 - p) * self.next(right, "0" + _group(left), met)
+            y, z = p * self.next(right, "1", met), (1 - p) * self.next(right, "0" + self.group(left, met), met)
             odds = SHORT.get(length, 1.0) if left[:2] == "P:" else 1.0
             steps.append(((z, y), (z, y * odds)))
         forward, f = [], (0.0, 1.0)
@@ -458,14 +490,14 @@ class Model:
         return [k for k, y in enumerate(yes) if y]
 
 
-def expected(lefts: list[str], rights: list[str], post: list[float], counts: dict[str, float], words: dict[str, list[float]]) -> None:
+def expected(lefts: list[str], rights: list[str], post: list[float], counts: dict[str, float], words: dict[str, list[float]], group: Callable[[str], str] = _group) -> None:
     """Add one text's expected counts: of classes without a word, and of words with a boundary and without."""
     for left, right, p in zip(lefts, rights, post):
         left = left.lstrip("=")
         if not left or _unmarked(left):
             continue
         kind = right.partition(":")[0]
-        for b, x in (("1", p), ("0" + _group(left), 1 - p)):
+        for b, x in (("1", p), ("0" + group(left), 1 - p)):
             if x > 1e-3:
                 if _worded(left):
                     words[f"L {left}"][b != "1"] += x
@@ -580,10 +612,38 @@ def features(chunks: DataFrame) -> DataFrame:
     return tall.mapInArrow(scan, "chunk_id bigint, side string, text string, ends array<int>, lefts array<string>, rights array<string>, lengths array<int>, inside array<int>, words array<string>")
 
 
-def with_met(texts: DataFrame, words: DataFrame | None, columns: list[str]) -> DataFrame:
+def full_stops(texts: DataFrame) -> tuple[dict[str, float], DataFrame]:
+    """In how many texts each short word has a full stop and in how many it has none (keys `T`), in how many such a stop ends the text or a
+    paragraph (keys `Z`); and the sums of stops and ends. A text that repeats a word counts once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        for b in batches:
+            for text in b[0].to_pylist():
+                tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+                said = set()
+                for i, (kind, w, _, end) in enumerate(tokens):
+                    if kind != "word" or len(w) > 5 and not is_known(w.lower()) or not is_short(w.lower()):
+                        continue
+                    stop = i + 1 < len(tokens) and tokens[i + 1][1] == "." and tokens[i + 1][2] == end
+                    said.add((f"T {w.lower()}", not stop))
+                    if stop and (i + 2 == len(tokens) or _PARAGRAPH.search(text, end + 1, tokens[i + 2][2])):
+                        said.add((f"Z {w.lower()}", False))
+                for key, no in said:
+                    own[key][no] += 1
+            if len(own) > HELD_WORDS:
+                yield _batch([(k, *n) for k, n in own.items()], _SAID[:1] + _SAID[2:], ("key", "yes", "no"))
+                own.clear()
+        yield _batch([(k, *n) for k, n in own.items()], _SAID[:1] + _SAID[2:], ("key", "yes", "no"))
+
+    said = texts.select("text").mapInArrow(count, "key string, yes double, no double").groupBy("key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    said = materialise(said, "stops")
+    stops, ends = said.agg(F.sum(F.when(F.col("key").startswith("T "), F.col("yes"))), F.sum(F.when(F.col("key").startswith("Z "), F.col("yes")))).first()
+    return {"T stops": stops or 0.0, "T ends": ends or 0.0}, said
+
+
+def with_met(texts: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
     """`columns` of each text and `met`, the counts of its own words. Words and texts are joined by shuffle; a text gets no more than it holds."""
-    if words is None:
-        return texts.select(*columns, F.lit(None).cast("array<struct<key: string, yes: double, no: double>>").alias("met"))
     spark = texts.sparkSession
     met = texts.select("text_no", F.explode("words").alias("key")).join(words, "key").groupBy("text_no").agg(F.collect_list(F.struct("key", "yes", "no")).alias("met"))
     # A number of its own keeps the texts, few bytes but much work, from being put together in few tasks.
@@ -591,10 +651,10 @@ def with_met(texts: DataFrame, words: DataFrame | None, columns: list[str]) -> D
     return texts.select("text_no", *columns).repartition(parts, "text_no").join(met, "text_no", "left").select(*columns, "met")
 
 
-def trained(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], DataFrame | None]:
+def trained(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], DataFrame]:
     """Counts after some rounds of expectation-maximisation over all texts: of classes without a word, which are few, and the table of words (key, yes, no)."""
-    counts: dict[str, float] = {}
-    words = None
+    sums_of_stops, stops = full_stops(texts)
+    counts, words = dict(sums_of_stops), stops
     for _ in range(rounds):
         held = texts.sparkSession.sparkContext.broadcast(counts)
 
@@ -609,15 +669,16 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], D
 
             for b in batches:
                 for lefts, rights, lengths, known in zip(*(c.to_pylist() for c in b.columns)):
-                    expected(lefts, rights, model.posteriors(lefts, rights, lengths, _met(known)), own, met)
+                    here = _met(known)
+                    expected(lefts, rights, model.posteriors(lefts, rights, lengths, here), own, met, partial(model.group, met=here))
                     if len(met) > HELD_WORDS:
                         yield said()
             yield said()
 
         sums = with_met(texts, words, ["lefts", "rights", "lengths"]).mapInArrow(expect, "key string, word boolean, yes double, no double")
         sums = materialise(sums.groupBy("key", "word").agg(F.round(F.sum("yes"), 3).alias("yes"), F.round(F.sum("no"), 3).alias("no")), "counts")
-        counts = {r.key: r.yes for r in sums.where("not word").collect()}
-        words = sums.where("word").drop("word")
+        counts = sums_of_stops | {r.key: r.yes for r in sums.where("not word").collect()}
+        words = sums.where("word").drop("word").unionByName(stops)
     return counts, words
 
 

@@ -89,3 +89,20 @@ def test_a_kept_model(spark):
     got = sorted((r.chunk_id, r.side, r.end_pos) for r in sentences.boundaries(asked, model=path).collect())
     assert got == [(1, "src", e) for e in want] + [(2, "tgt", 11), (2, "tgt", 18)]
     assert sorted(map(tuple, sentences.boundaries(learnt, model=path).collect())) == sorted(map(tuple, sentences.boundaries(learnt).collect()))
+
+
+def test_abbreviations_are_learnt(spark):
+    """A short word that never stands without its full stop, and whose full stop never ends a text, is an abbreviation, listed or not; one that ends texts isn't."""
+    assert not sentences.is_known("qxr") and not sentences.is_known("bort")
+    texts = [f"Wir sahen {'Qxr. Adam' if i % 2 else 'Qxr. Berta'} am Tor {i}." for i in range(60)]
+    texts += [f"Da ging er bort. Dann kam {i} Hund" + (" bort." if i % 3 else " heim.") for i in range(60)]
+    found = ends(spark, texts)
+    assert all(len(found[i]) == 1 for i in range(60)) and all(len(found[i]) == 2 for i in range(60, 120))
+
+
+def test_a_listed_word_is_judged_by_the_texts(spark):
+    """`art` is listed, but here it is an ordinary word: it stands without a full stop, and its full stop ends texts."""
+    assert sentences.is_known("art")
+    texts = [f"Das ist eine Art von Baum {i} hier." for i in range(40)] + ["Es war seine Art. Er ging heim.", "Das ist keine Art."] * 20
+    found = ends(spark, texts)
+    assert all(len(found[i]) == 2 for i in range(40, 80, 2))
