@@ -53,14 +53,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_made: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _forget_all() -> None:
+    for spark, path in _made:
+        try:
+            delete_path(spark, path)
+        except Exception:  # the session has ended; the folder belongs to the cluster then
+            return
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A place of its own in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/paarwerk/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    atexit.register(_forget, spark, path)
+    _made.append((spark, path))
     return path
 
 
@@ -70,13 +78,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        delete_path(spark, path)
-    except Exception:  # the session has ended; the folder belongs to the cluster then
-        pass
-
-
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables written to the shared folder inside this block are deleted at its end, as a long stream needs it."""
@@ -84,7 +85,7 @@ def passing(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _made[before:]:
+        for _, path in _made[before:]:
             delete_path(spark, path)
         del _made[before:]
 
