@@ -139,10 +139,15 @@ def _right_class(tokens: list[tuple[str, str, int, int]], i: int) -> str:
     return "punct"
 
 
-def places(text: str) -> tuple[list[int], list[str], list[str], list[int], list[int]]:
+def tokens_of(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, token, start, end) of every token."""
+    return [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+
+
+def places(text: str, tokens: list[tuple[str, str, int, int]] | None = None) -> tuple[list[int], list[str], list[str], list[int], list[int]]:
     """The places at which a boundary may be hidden, in order: end position, left class, right class, words since the
     place before, and the place where the enclosing quotation ends (-1: none). The left classes `end` and `blank line` are certain."""
-    tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    tokens = tokens_of(text) if tokens is None else tokens
     ends, lefts, rights, lengths, inside = [], [], [], [], []
     stack: list[list] = []  # opening sign, what came before it, its places
     word, mark, closed, mark_at = None, "", "", -1
@@ -521,7 +526,7 @@ class Spoken:
 
     def add(self, text: str, cuts: list[int]) -> None:
         """One text's words in paragraphs that have marks, as cut. Marks that end no sentence, and signs around words, are as if they weren't there."""
-        tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        tokens = tokens_of(text)
         for own in paragraphs(text, tokens):
             if not any(t[0] == "mark" for t in own) or _is_thai(text, own):
                 continue
@@ -600,43 +605,43 @@ def _batch(rows: list[tuple], kinds: tuple, names: tuple[str, ...]) -> pa.Record
 
 
 def features(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, side, text, ends, lefts, rights, lengths, inside, words) of every text that isn't blank."""
+    """(chunk_id, side, text, ends, lefts, rights, lengths, inside, words, stops) of every text that isn't blank."""
     tall = chunks.select("chunk_id", F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("text")) for c in ("src", "tgt")])).alias("x")).select("chunk_id", "x.side", "x.text").where("text <> ''")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.string(), *map(pa.list_, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())))
+        kinds = (pa.int64(), pa.string(), pa.string(), *map(pa.list_, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())))
         for b in batches:
-            rows = [(*r, *places(r[2])) for r in zip(*(c.to_pylist() for c in b.columns))]
-            yield _batch([(*r, word_keys(r[4], r[5])) for r in rows if r[3]], kinds, ("chunk_id", "side", "text", "ends", "lefts", "rights", "lengths", "inside", "words"))
+            rows = []
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                tokens = tokens_of(r[2])
+                if (found := places(r[2], tokens))[0]:
+                    rows.append((*r, *found, word_keys(found[1], found[2]), stop_keys(r[2], tokens)))
+            yield _batch(rows, kinds, ("chunk_id", "side", "text", "ends", "lefts", "rights", "lengths", "inside", "words", "stops"))
+
+    return tall.mapInArrow(scan, "chunk_id bigint, side string, text string, ends array<int>, lefts array<string>, rights array<string>, lengths array<int>, inside array<int>, words array<string>, stops array<string>")
 
-    return tall.mapInArrow(scan, "chunk_id bigint, side string, text string, ends array<int>, lefts array<string>, rights array<string>, lengths array<int>, inside array<int>, words array<string>")
+
+def stop_keys(text: str, tokens: list[tuple[str, str, int, int]]) -> list[str]:
+    """Of each short word of a text, once: whether it has a full stop here (`T1 word`), whether it has none (`T0 word`), whether such a stop ends the text or a paragraph (`Z1 word`)."""
+    said = set()
+    for i, (kind, w, _, end) in enumerate(tokens):
+        if kind != "word" or not is_short(low := w.lower()):
+            continue
+        if i + 1 == len(tokens) or tokens[i + 1][1] != "." or tokens[i + 1][2] != end:
+            said.add(f"T0 {low}")
+            continue
+        said.add(f"T1 {low}")
+        if i + 2 == len(tokens) or _PARAGRAPH.search(text, end + 1, tokens[i + 2][2]):
+            said.add(f"Z1 {low}")
+    return sorted(said)
 
 
 def full_stops(texts: DataFrame) -> tuple[dict[str, float], DataFrame]:
     """In how many texts each short word has a full stop and in how many it has none (keys `T`), in how many such a stop ends the text or a
     paragraph (keys `Z`); and the sums of stops and ends. A text that repeats a word counts once."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-        for b in batches:
-            for text in b[0].to_pylist():
-                tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
-                said = set()
-                for i, (kind, w, _, end) in enumerate(tokens):
-                    if kind != "word" or len(w) > 5 and not is_known(w.lower()) or not is_short(w.lower()):
-                        continue
-                    stop = i + 1 < len(tokens) and tokens[i + 1][1] == "." and tokens[i + 1][2] == end
-                    said.add((f"T {w.lower()}", not stop))
-                    if stop and (i + 2 == len(tokens) or _PARAGRAPH.search(text, end + 1, tokens[i + 2][2])):
-                        said.add((f"Z {w.lower()}", False))
-                for key, no in said:
-                    own[key][no] += 1
-            if len(own) > HELD_WORDS:
-                yield _batch([(k, *n) for k, n in own.items()], _SAID[:1] + _SAID[2:], ("key", "yes", "no"))
-                own.clear()
-        yield _batch([(k, *n) for k, n in own.items()], _SAID[:1] + _SAID[2:], ("key", "yes", "no"))
-
-    said = texts.select("text").mapInArrow(count, "key string, yes double, no double").groupBy("key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    each = texts.select(F.explode("stops").alias("s")).groupBy("s").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    yes = F.substring("s", 2, 1) == "1"
+    said = each.groupBy(F.concat(F.left("s", F.lit(1)), F.expr("substring(s, 3)")).alias("key")).agg(F.sum(F.when(yes, F.col("n")).otherwise(0.0)).alias("yes"), F.sum(F.when(yes, 0.0).otherwise(F.col("n"))).alias("no"))
     said = materialise(said, "stops")
     stops, ends = said.agg(F.sum(F.when(F.col("key").startswith("T "), F.col("yes"))), F.sum(F.when(F.col("key").startswith("Z "), F.col("yes")))).first()
     return {"T stops": stops or 0.0, "T ends": ends or 0.0}, said
@@ -648,7 +653,7 @@ def with_met(texts: DataFrame, words: DataFrame, columns: list[str]) -> DataFram
     met = texts.select("text_no", F.explode("words").alias("key")).join(words, "key").groupBy("text_no").agg(F.collect_list(F.struct("key", "yes", "no")).alias("met"))
     # A number of its own keeps the texts, few bytes but much work, from being put together in few tasks.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return texts.select("text_no", *columns).repartition(parts, "text_no").join(met, "text_no", "left").select(*columns, "met")
+    return texts.select(*dict.fromkeys(["text_no", *columns])).repartition(parts, "text_no").join(met, "text_no", "left").select(*columns, "met")
 
 
 def trained(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], DataFrame]:
@@ -682,26 +687,38 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], D
     return counts, words
 
 
-def with_language(texts: DataFrame, counts: dict[str, float], words: DataFrame, whole: bool = False) -> tuple[dict[str, float], DataFrame]:
-    """The counts and words with those of the bigram model: all (`whole`), or, where any text has a paragraph without marks, those that such texts ask for."""
-    asked = texts.select(F.explode("words").alias("key")).where("key rlike '^U[cl] '").distinct()
-    if not whole and asked.isEmpty():
-        return counts, words
+CUT = "text_no bigint, chunk_id bigint, side string, text string, cuts array<int>"
+
+
+def cut(texts: DataFrame, counts: dict[str, float], words: DataFrame) -> DataFrame:
+    """(text_no, chunk_id, side, text, cuts): the ends of every text's sentences."""
     held = texts.sparkSession.sparkContext.broadcast(counts)
 
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(held.value)
+        for b in batches:
+            ends = [[row.ends[k] for k in model.decided(row)] for row in _rows(b)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("text_no", "chunk_id", "side", "text")), pa.array(ends, pa.list_(pa.int32()))], names=["text_no", "chunk_id", "side", "text", "cuts"])
+
+    return with_met(texts, words, ["text_no", *(c for c in Row._fields if c != "met")]).mapInArrow(decide, CUT)
+
+
+def language(cuts: DataFrame, asked: DataFrame | None = None) -> tuple[dict[str, float], DataFrame]:
+    """Counts and words of the bigram model, over all texts as cut; of the words all, or those of `asked` (key)."""
+
     def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, own = Model(held.value), Spoken()
+        own = Spoken()
         for b in batches:
-            for row in _rows(b):
-                own.add(row.text, [row.ends[k] for k in model.decided(row)])
+            for text, ends in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist()):
+                own.add(text, ends)
                 if len(own.pairs) > HELD_WORDS:
                     yield _batch(own.rows(), _SAID, ("key", "word", "yes", "no"))
         yield _batch(own.rows(), _SAID, ("key", "word", "yes", "no"))
 
-    said = with_met(texts, words, [c for c in Row._fields if c != "met"]).mapInArrow(speak, "key string, word boolean, yes double, no double")
-    kept = said if whole else said.join(asked.withColumn("asked", F.lit(True)), "key", "left").where("not word or asked")
+    said = cuts.select("text", "cuts").mapInArrow(speak, "key string, word boolean, yes double, no double")
+    kept = said if asked is None else said.join(asked.withColumn("asked", F.lit(True)), "key", "left").where("not word or asked")
     sums = materialise(kept.groupBy("key", "word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "language")
-    return counts | {r.key: r.yes for r in sums.where("not word").collect()}, words.unionByName(sums.where("word").drop("word"))
+    return {r.key: r.yes for r in sums.where("not word").collect()}, sums.where("word").drop("word")
 
 
 def _places(chunks: DataFrame) -> DataFrame:
@@ -711,9 +728,10 @@ def _places(chunks: DataFrame) -> DataFrame:
 def train(chunks: DataFrame, path: str, rounds: int = ROUNDS) -> None:
     """Train a model on all texts and keep it at `path` (folders classes and words), for `boundaries` of these and of other texts."""
     texts = _places(chunks)
-    counts, words = with_language(texts, *trained(texts, rounds), whole=True)
-    chunks.sparkSession.createDataFrame(list(counts.items()), "key string, n double").write.mode("overwrite").parquet(f"{path}/classes")
-    words.groupBy("key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).write.mode("overwrite").parquet(f"{path}/words")
+    counts, words = trained(texts, rounds)
+    more, spoken = language(cut(texts, counts, words))
+    chunks.sparkSession.createDataFrame(list((counts | more).items()), "key string, n double").write.mode("overwrite").parquet(f"{path}/classes")
+    words.unionByName(spoken).groupBy("key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).write.mode("overwrite").parquet(f"{path}/words")
 
 
 def stored(spark: SparkSession, path: str) -> tuple[dict[str, float], DataFrame]:
@@ -724,20 +742,25 @@ def stored(spark: SparkSession, path: str) -> tuple[dict[str, float], DataFrame]
 def boundaries(chunks: DataFrame, rounds: int = ROUNDS, model: str | None = None) -> DataFrame:
     """(chunk_id, side, sent_no, end_pos, sentence) of every sentence, sent_no from 1. By the model kept at `model`, or else by one that is trained on these texts."""
     texts = _places(chunks)
-    counts, words = stored(chunks.sparkSession, model) if model else with_language(texts, *trained(texts, rounds))
-    held = texts.sparkSession.sparkContext.broadcast(counts)
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(held.value)
+    if model:
+        cuts = cut(texts, *stored(chunks.sparkSession, model))
+    else:
+        counts, words = trained(texts, rounds)
+        cuts = materialise(cut(texts, counts, words), "cuts")
+        # Texts with a paragraph without marks are cut again, by what the others said.
+        unmarked = F.exists("words", lambda w: w.rlike("^U[cl] "))
+        asked = texts.where(unmarked).select(F.explode("words").alias("key")).where("key rlike '^U[cl] '").distinct()
+        if not asked.isEmpty():
+            more, spoken = language(cuts, asked)
+            again = materialise(cut(texts.where(unmarked), counts | more, words.unionByName(spoken)), "cut-again")
+            cuts = cuts.join(again.select("text_no"), "text_no", "left_anti").unionByName(again)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
         for b in batches:
             out = []
-            for row in _rows(b):
-                at = 0
-                for no, k in enumerate(known.decided(row), 1):
-                    end = row.ends[k]
-                    out.append((row.chunk_id, row.side, no, end, row.text[at:end].strip()))
-                    at = end
+            for chunk, side, text, ends in zip(*(b.column(c).to_pylist() for c in ("chunk_id", "side", "text", "cuts"))):
+                out += [(chunk, side, no, end, text[at:end].strip()) for no, (at, end) in enumerate(zip([0, *ends], ends), 1)]
             yield _batch(out, kinds, ("chunk_id", "side", "sent_no", "end_pos", "sentence"))
 
-    return with_met(texts, words, [c for c in Row._fields if c != "met"]).mapInArrow(decide, "chunk_id bigint, side string, sent_no int, end_pos int, sentence string")
+    return cuts.mapInArrow(split, "chunk_id bigint, side string, sent_no int, end_pos int, sentence string")
