@@ -325,8 +325,8 @@ NEXT = {
 CASELESS = frozenset(("k", "th", "hi", "ar"))
 #: Weights of the first chances and of a word that is new, in places; what a capital or opening sign without a boundary loses behind an ellipsis and the like.
 KIND_WEIGHT, WORD_WEIGHT, UNLIKELY = 30.0, 5.0, 0.3
-#: Weights of the rate of boundaries and of the single word, in the bigram model.
-END_WEIGHT, FOLLOW_WEIGHT = 4.0, 2.0
+#: Weights in the bigram model: of the rate of boundaries, of the words that may follow any word, and of the rate for the single word.
+END_WEIGHT, FOLLOW_WEIGHT, WORD_SHARE = 4.0, 20.0, 4.0
 #: Odds of a boundary that would make a sentence of one or two words out of a word with a full stop.
 SHORT = {1: 0.3, 2: 0.6}
 
@@ -444,11 +444,13 @@ class Model:
         if not starts or not follows:
             return 0.0
         end, start, pair = (met.get(k, UNMET) for k in language_keys(left, right))
-        rate = starts / (starts + follows)
+        rate = self.n[f"{kind} shares"] / self.n[f"{kind} paragraphs"]
         e = (end[0] + END_WEIGHT * rate) / (end[0] + end[1] + END_WEIGHT)
-        anywhere = (start[0] + start[1] + 0.5) / (starts + follows + 0.5)
-        s = (start[0] + FOLLOW_WEIGHT * anywhere) / (starts + FOLLOW_WEIGHT)
-        g = (pair[1] + FOLLOW_WEIGHT * (start[1] + 0.5) / (follows + 0.5)) / (end[1] + FOLLOW_WEIGHT)
+        # Of a word that was met a few times only, whether it begins sentences is known as little.
+        met_ = start[0] + start[1] + 0.5
+        inside = (start[1] + WORD_SHARE * (1 - rate)) / (start[0] + start[1] + WORD_SHARE)
+        s = met_ * (1 - inside) / starts
+        g = (pair[1] + FOLLOW_WEIGHT * met_ * inside / follows) / (end[1] + FOLLOW_WEIGHT)
         return e * s / (e * s + (1 - e) * g)
 
     def posteriors(self, lefts: list[str], rights: list[str], lengths: list[int], met: dict[str, tuple[float, float]]) -> list[float]:
@@ -523,6 +525,8 @@ class Spoken:
         self.begin: dict[tuple[str, str], int] = defaultdict(int)
         self.end: dict[tuple[str, str], int] = defaultdict(int)
         self.pairs: dict[tuple[str, str, str], int] = defaultdict(int)
+        #: By kind, the sum of the paragraphs' shares of words that begin a sentence, and the paragraphs: one that repeats a word sets no rate for all others.
+        self.shares: dict[tuple[str], list[float]] = defaultdict(lambda: [0.0, 0.0])
 
     def add(self, text: str, cuts: list[int]) -> None:
         """One text's words in paragraphs that have marks, as cut. Marks that end no sentence, and signs around words, are as if they weren't there."""
@@ -531,11 +535,12 @@ class Spoken:
             if not any(t[0] == "mark" for t in own) or _is_thai(text, own):
                 continue
             kind = "Uc" if _has_capitals(text, own) else "Ul"
-            before, k = "", bisect_left(cuts, own[0][2])
+            before, k, begun, all_ = "", bisect_left(cuts, own[0][2]), 0, 0
             for word, end, sign in units(own):
                 if sign:
                     continue
                 cut = k < len(cuts) and cuts[k] < end
+                all_, begun = all_ + 1, begun + (cut or not before)
                 while k < len(cuts) and cuts[k] < end:
                     k += 1
                 if before and not cut:
@@ -547,6 +552,8 @@ class Spoken:
                 before = word
             if before:
                 self.end[kind, before] += 1
+                self.shares[kind,][0] += begun / all_
+                self.shares[kind,][1] += 1
 
     def rows(self) -> list[tuple]:
         """(key, word, yes, no) of all, and starts anew. What has capitals also counts in lower case, for texts without."""
@@ -558,6 +565,10 @@ class Spoken:
             if kind == "Uc":
                 yield "Ul", *map(str.lower, said)
 
+        for x, (share, n) in self.shares.items():
+            for (kind,) in all_of(*x):
+                counts[f"{kind} shares"] += share
+                counts[f"{kind} paragraphs"] += n
         for x, n in self.begin.items():
             for kind, w in all_of(*x):
                 counts[f"{kind} starts"] += n
